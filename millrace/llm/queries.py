@@ -90,8 +90,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_substring_dedup, op4_url_filter, op5_jaccard_join, op6_best_fit_packing, op7_revisit_resolution, op8_quality_classifier, op9_line_dedup, op10_decontaminate)}
 
 _OP1 = """
-WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
@@ -110,8 +110,8 @@ ON s.page_id IS NOT DISTINCT FROM b.page_id AND s.host = b.host AND s.path = b.p
 """
 
 _OP5 = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS t FROM documents WHERE text IS NOT NULL),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), i -> list_aggregate(t[i:i+4], 'string_agg', ' ')) WHEN len(t) > 0 THEN [list_aggregate(t, 'string_agg', ' ')] ELSE [] END) AS g FROM w),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: list_aggregate(t[i:i+4], 'string_agg', ' ')) WHEN len(t) > 0 THEN [list_aggregate(t, 'string_agg', ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
@@ -130,7 +130,7 @@ c AS (
 u AS (SELECT *, regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM c),
 k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
   regexp_replace(regexp_extract(bare, '(?s)^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-  list_sort(list_filter(string_split(regexp_extract(bare, '(?s)^[^?]*\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS kept FROM u),
+  list_sort(list_filter(string_split(regexp_extract(bare, '(?s)^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS kept FROM u),
 n AS (SELECT *, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM k),
 a AS (SELECT r.*, f.record_id AS f_id, f.ts AS f_ts, f.etag AS f_etag, f.last_modified AS f_lm, f.payload_digest AS f_digest,
     CASE WHEN f.record_id IS NULL THEN 'missing' WHEN r.etag IS NULL THEN 'no_validator' WHEN r.etag <> f.etag THEN 'mismatch' ELSE 'resolved' END AS outcome
@@ -149,11 +149,11 @@ o AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= {MIN_DOC
 g AS (SELECT f.* FROM f SEMI JOIN o USING (leaf)),
 e AS (SELECT DISTINCT leaf, unnest(tok) AS token, generate_subscripts(tok, 1) AS i FROM (SELECT DISTINCT leaf, tok FROM g)),
 v AS (SELECT leaf, list(i) AS wild FROM (SELECT leaf, i FROM e WHERE i > {DEPTH} GROUP BY leaf, i HAVING count(*) > {MAX_BRANCH}) GROUP BY leaf),
-x AS (SELECT g.*, list_transform(range(1, len(tok) + 1), i -> CASE WHEN list_contains(v.wild, i) THEN '<*>' ELSE tok[i] END) AS general, v.wild FROM g LEFT JOIN v USING (leaf)),
-y AS (SELECT doc_id, h, pos, leaf, CASE WHEN wild IS NOT NULL AND len(list_filter(general, z -> z <> '<*>')) >= {MIN_CONSTANT} * len(tok) THEN array_to_string(general, ' ') ELSE masked END AS template FROM x),
+x AS (SELECT g.*, list_transform(range(1, len(tok) + 1), lambda i: CASE WHEN list_contains(v.wild, i) THEN '<*>' ELSE tok[i] END) AS general, v.wild FROM g LEFT JOIN v USING (leaf)),
+y AS (SELECT doc_id, h, pos, leaf, CASE WHEN wild IS NOT NULL AND len(list_filter(general, lambda z: z <> '<*>')) >= {MIN_CONSTANT} * len(tok) THEN array_to_string(general, ' ') ELSE masked END AS template FROM x),
 m AS (SELECT leaf, template, min(doc_id) AS first FROM y GROUP BY ALL HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
 d AS (SELECT doc_id, h, list(DISTINCT pos) AS drops FROM y JOIN m USING (leaf, template) WHERE doc_id IS DISTINCT FROM first GROUP BY ALL)
-SELECT s.doc_id, md5(CASE WHEN d.drops IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), i -> NOT list_contains(d.drops, i)), i -> string_split(text, chr(10))[i]), chr(10)) END) AS text_md5,
+SELECT s.doc_id, md5(CASE WHEN d.drops IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(d.drops, i)), lambda i: string_split(text, chr(10))[i]), chr(10)) END) AS text_md5,
   CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(len(d.drops), 0) AS BIGINT) AS n_dropped
 FROM documents s LEFT JOIN d ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND md5(coalesce(s.text, '')) = d.h
 """
