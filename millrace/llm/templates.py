@@ -55,7 +55,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     drops = known.join(staged(many.select("template", "first"), "dropped"), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     per_row = staged(drops.select("row", "pos").distinct().groupBy("row").agg(F.collect_list("pos").alias("drops")), "drops")
     given = documents.withColumn("__row", row)
-    joined = given.join(per_row.withColumnRenamed("row", "__row").withColumnRenamed("drops", "__drops"), "__row", "left")
+    joined = given.join(per_row.withColumnRenamed("row", "__row").withColumnRenamed("drops", "__drops").hint("merge"), "__row", "left")
     split = F.split(F.col(text_col), "\n")
     rest = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__drops", i)), "\n")
     text = F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(rest)
