@@ -27,8 +27,8 @@ MERGE_FAN_IN = 64
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
-def _matrix(raw: bytes, dim: int, wide: bool) -> np.ndarray:
-    return np.frombuffer(raw, np.float64 if wide else np.float32).reshape(-1, dim)
+def _matrix(raw: bytes, ids: bytes, dim: int, wide: bool) -> np.ndarray:
+    return np.frombuffer(raw, np.float64 if wide else np.float32).reshape(len(ids) // 8, dim)
 
 
 def _quantise(values: np.ndarray, scale: float) -> np.ndarray:
@@ -130,7 +130,7 @@ def _pairs(k: int, open_tiles: int = 32):
 
         for batch in batches:
             for r in batch.to_pylist():
-                q, b = _matrix(r["q_mat"], r["dim"], r["q_wide"]), _matrix(r["mat"], r["dim"], r["wide"])
+                q, b = _matrix(r["q_mat"], r["q_ids"], r["dim"], r["q_wide"]), _matrix(r["mat"], r["ids"], r["dim"], r["wide"])
                 ids = np.frombuffer(r["ids"], np.int64)
                 q_ids, q_block, q_pos = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_block", "q_pos"))
                 found = _best(_products(q, b), np.where(q_block == r["block"], q_pos, -1), k)
@@ -164,7 +164,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         "dim": pa.array([r["dim"]], pa.int32()),
                         "q_wide": [r["wide"]],
                         "q_ids": [np.frombuffer(r["ids"], np.int64)[at].tobytes()],
-                        "q_mat": [_matrix(r["mat"], r["dim"], r["wide"])[at].tobytes()],
+                        "q_mat": [_matrix(r["mat"], r["ids"], r["dim"], r["wide"])[at].tobytes()],
                         "q_block": [np.full(len(at), r["block"], np.int64).tobytes()],
                         "q_pos": [at.astype(np.int64).tobytes()],
                     }
@@ -176,7 +176,7 @@ def _packed(rows: int):
 
     def join(held: list[dict]) -> pa.RecordBatch:
         wide = any(h["q_wide"] for h in held)
-        mats = [_matrix(h["q_mat"], h["dim"], h["q_wide"]).astype(np.float64 if wide else np.float32) for h in held]
+        mats = [_matrix(h["q_mat"], h["q_ids"], h["dim"], h["q_wide"]).astype(np.float64 if wide else np.float32) for h in held]
         cat = lambda c: b"".join(h[c] for h in held)
         return pa.RecordBatch.from_pydict({"tile": pa.array([held[0]["tile"]], pa.int64()), "dim": pa.array([held[0]["dim"]], pa.int32()), "q_wide": [wide], "q_ids": [cat("q_ids")], "q_mat": [np.concatenate(mats).tobytes()], "q_block": [cat("q_block")], "q_pos": [cat("q_pos")]})
 
