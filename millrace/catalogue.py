@@ -1,12 +1,162 @@
-"""The queries of this library over the driver's tables, with the SQL that says what each returns."""
+"""A package over the driver's tables, and the queries asked of it, with the SQL that says what each returns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators.pipelines import run_pipeline
+from .plans.engine import Engine
+from .plans.model import Clock, Dimension, Entity, Measure, Package, Relationship
+from .sources.relations import parquet_folder
+
+MONEY = "decimal(18,2)"
+
+DERIVED = {
+    "orders_null": lambda rel: rel("orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END").alias("o_custkey"), "o_orderpriority", "o_totalprice"),
+    "user_days": lambda rel: rel("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events")).select(F.col("user_id"), F.col("day").cast("timestamp_ntz").alias("day"), "n_events"),
+    "customer_history": lambda rel: rel("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.expr("timestamp_ntz '1990-01-01'").alias("valid_from"), F.expr("timestamp_ntz '1998-01-01'").alias("valid_to"))
+    .unionByName(rel("customer").where("c_custkey % 3 <> 0").select("c_custkey", F.concat(F.col("c_mktsegment"), F.lit("+")).alias("segment"), F.expr("timestamp_ntz '1998-01-01'").alias("valid_from"), F.expr("cast(null as timestamp_ntz)").alias("valid_to"))),
+}
+
+PACKAGE = Package(
+    entities={
+        "region": Entity("region", ("r_regionkey",)), "nation": Entity("nation", ("n_nationkey",)), "customer": Entity("customer", ("c_custkey",)), "supplier": Entity("supplier", ("s_suppkey",)),
+        "part": Entity("part", ("p_partkey",)), "order": Entity("orders", ("o_orderkey",)), "lineitem": Entity("lineitem"), "event": Entity("events", ("event_id",)),
+        "order_null": Entity("orders_null", ("o_orderkey",)), "user_day": Entity("user_days", ("user_id", "day")), "history": Entity("customer_history"), "document": Entity("documents", ("doc_id",)), "label": Entity("labels", ("doc_id",)),
+    },
+    relationships=(
+        Relationship("nation", "region", (("n_regionkey", "r_regionkey"),)), Relationship("customer", "nation", (("c_nationkey", "n_nationkey"),)), Relationship("supplier", "nation", (("s_nationkey", "n_nationkey"),)),
+        Relationship("order", "customer", (("o_custkey", "c_custkey"),)), Relationship("lineitem", "order", (("l_orderkey", "o_orderkey"),)), Relationship("lineitem", "part", (("l_partkey", "p_partkey"),)),
+        Relationship("lineitem", "supplier", (("l_suppkey", "s_suppkey"),)), Relationship("event", "customer", (("user_id", "c_custkey"),)), Relationship("order_null", "customer", (("o_custkey", "c_custkey"),)),
+        Relationship("user_day", "customer", (("user_id", "c_custkey"),)), Relationship("order", "history", (("o_custkey", "c_custkey"),), ("valid_from", "valid_to")), Relationship("document", "label", (("doc_id", "doc_id"),)),
+    ),
+    dimensions={
+        "region.name": Dimension("region", "r_name"), "nation.name": Dimension("nation", "n_name"), "customer.segment": Dimension("customer", "c_mktsegment"), "customer.key": Dimension("customer", "c_custkey"), "customer.name": Dimension("customer", "c_name"),
+        "part.brand": Dimension("part", "p_brand"), "order.status": Dimension("order", "o_orderstatus"), "order.priority": Dimension("order", "o_orderpriority"), "order.price": Dimension("order", "o_totalprice"),
+        "lineitem.flag": Dimension("lineitem", "l_returnflag"), "lineitem.quantity": Dimension("lineitem", "l_quantity"), "event.type": Dimension("event", "event_type"), "event.user": Dimension("event", "user_id"),
+        "order_null.priority": Dimension("order_null", "o_orderpriority", ("4-NOT SPECIFIED",)), "history.segment": Dimension("history", "segment"), "document.lang": Dimension("document", "lang"), "label.quality": Dimension("label", "quality"),
+    },
+    clocks={"order.date": Clock("order", "o_orderdate"), "lineitem.ship": Clock("lineitem", "l_shipdate"), "event.ts": Clock("event", "ts"), "user_day.day": Clock("user_day", "day")},
+    measures={
+        "revenue": Measure("order", f"cast(o_totalprice as {MONEY})", clock="order.date"), "orders": Measure("order", "o_orderkey", "count", clock="order.date"), "customers": Measure("order", "o_custkey", "count_distinct", clock="order.date"),
+        "quantity": Measure("lineitem", f"cast(l_quantity as {MONEY})", clock="lineitem.ship"), "line_value": Measure("lineitem", f"cast(l_extendedprice as {MONEY})", clock="lineitem.ship"), "events": Measure("event", "event_id", "count", clock="event.ts"),
+        "event_value": Measure("event", "value", "sum", clock="event.ts"), "revenue_null": Measure("order_null", f"cast(o_totalprice as {MONEY})"), "active": Measure("user_day", "n_events", "last_value", clock="user_day.day", stock=("user_id",)),
+        "documents": Measure("document", "doc_id", "count"), "characters": Measure("document", "n_chars"),
+    },
+    metrics={
+        "aov": {"kind": "ratio", "numerator": {"kind": "measure", "id": "revenue"}, "denominator": {"kind": "measure", "id": "orders"}},
+        "urgent_share": {"kind": "ratio", "numerator": {"kind": "aggregate_if", "id": "orders", "agg": "count", "if": [{"id": "order.priority", "value": "1-URGENT"}]}, "denominator": {"kind": "measure", "id": "orders"}},
+    },
+)
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(spark, PACKAGE, parquet_folder(spark, sf_dir, DERIVED))
+
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+M = lambda i: {"kind": "measure", "id": i}
+
+
+def _shaped(df: DataFrame, shape: dict[str, tuple[str, str]]) -> DataFrame:
+    """Output columns by name: (column of the result, type). Doubles are rounded, so the order of a sum doesn't show."""
+    typed = lambda c, t: F.floor(F.col(f"`{c}`").cast("double") * 10000 + 0.5).cast("double") / 10000 if t == "double" else F.col(f"`{c}`").cast(t)
+    return df.select(*[typed(c, t).alias(n) for n, (c, t) in shape.items()])
+
+
+def _ask(name: str, call: dict, shape: dict[str, tuple[str, str]], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _shaped(engine(spark, sf_dir).query(call), shape)
+    ORACLES[name] = sql
+
+
+N, B, D, S = ("double", "bigint", "date", "string")
+R = lambda x: f"floor(cast({x} as double) * 10000 + 0.5) / 10000"
+REV = "sum(cast(o_totalprice as decimal(18,2)))"
+OCN = "orders o LEFT JOIN customer c ON o_custkey = c_custkey LEFT JOIN nation n ON c_nationkey = n_nationkey"
+MON = "cast(date_trunc('month', o_orderdate) as date)"
+
+_ask("revenue_by_nation", {"select": ["revenue", "orders"], "group_by": ["nation.name"], "routes": {"order->nation": ["customer", "nation"]}, "order_by": ["nation.name"]}, {"nation": ("nation.name", S), "revenue": ("revenue", N), "orders": ("orders", B)},
+     f"SELECT n_name AS nation, {R(REV)} AS revenue, count(*) AS orders FROM {OCN} GROUP BY 1")
+_ask("filter_words", {"select": ["orders"], "group_by": ["order.status"], "where": [{"id": "order.priority", "word": "not", "value": ["1-URGENT", "5-LOW"]}, {"id": "order.price", "word": "gte", "value": 1000}, {"id": "customer.segment", "word": "starts_with", "value": "b"}, {"id": "customer.name", "word": "not_contains", "value": "99"}, {"id": "order.price", "word": "missing", "value": False}]},
+     {"status": ("order.status", S), "orders": ("orders", B)}, "SELECT o_orderstatus AS status, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW') AND o_totalprice >= 1000 AND starts_with(lower(c_mktsegment), 'b') AND NOT contains(lower(c_name), '99') GROUP BY 1")
+_ask("unknown_values", {"select": ["revenue_null"], "group_by": ["order_null.priority"]}, {"priority": ("order_null.priority", S), "revenue": ("revenue_null", N)}, f"SELECT nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority, {R(REV)} AS revenue FROM orders GROUP BY 1")
+_ask("unknown_key_lookup", {"select": ["revenue_null"], "group_by": ["customer.segment"]}, {"segment": ("customer.segment", S), "revenue": ("revenue_null", N)}, f"SELECT c_mktsegment AS segment, {R(REV)} AS revenue FROM orders LEFT JOIN customer ON CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END = c_custkey GROUP BY 1")
+_ask("distinct_listing", {"group_by": ["customer.segment", "region.name"]}, {"segment": ("customer.segment", S), "region": ("region.name", S)}, "SELECT DISTINCT c_mktsegment AS segment, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+_ask("having_top_n", {"select": ["orders", "revenue"], "group_by": ["customer.key"], "having": [{"id": "orders", "word": "gt", "value": 5}], "order_by": [{"id": "orders", "desc": True}], "limit": 20}, {"customer": ("customer.key", B), "orders": ("orders", B), "revenue": ("revenue", N)},
+     f"SELECT o_custkey AS customer, count(*) AS orders, {R(REV)} AS revenue FROM orders GROUP BY 1 HAVING count(*) > 5 ORDER BY orders DESC, customer LIMIT 20")
+_stat = lambda a, **k: {"id": "revenue", "as": a, "agg": a, **k}
+_ask("statistics", {"select": [*map(_stat, ("avg", "min", "max", "median")), _stat("percentile", p=0.9), "customers"], "group_by": ["order.priority"]}, {"priority": ("order.priority", S), **{a: (a, N) for a in ("avg", "min", "max", "median", "percentile")}, "customers": ("customers", B)},
+     f"SELECT o_orderpriority AS priority, {R('cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*)')} AS avg, {R('min(o_totalprice)')} AS min, {R('max(o_totalprice)')} AS max, {R('median(o_totalprice)')} AS median, {R('quantile_cont(o_totalprice, 0.9)')} AS percentile, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+_ask("first_last_value", {"select": [{"id": "event_value", "as": "first", "agg": "first_value"}, {"id": "event_value", "as": "last", "agg": "last_value"}], "group_by": ["event.user"]}, {"user": ("event.user", B), "first": ("first", N), "last": ("last", N)},
+     f"SELECT user_id AS user, {R('arg_min(value, ts)')} AS first, {R('arg_max(value, ts)')} AS last FROM events WHERE value IS NOT NULL GROUP BY 1")
+_ask("ratio_and_conditional", {"select": ["aov", "urgent_share"], "group_by": ["customer.segment"]}, {"segment": ("customer.segment", S), "aov": ("aov", N), "urgent_share": ("urgent_share", N)},
+     f"SELECT c_mktsegment AS segment, {R('cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*)')} AS aov, {R('count(*) FILTER (o_orderpriority = ' + chr(39) + '1-URGENT' + chr(39) + ')::double / count(*)')} AS urgent_share FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+_ask("arithmetic_and_calls", {"select": [{"as": "x", "expr": {"kind": "call", "name": "ROUND", "args": [{"kind": "divide", "args": [{"kind": "subtract", "args": [M("revenue"), M("orders")]}, {"kind": "literal", "value": 1000}]}, 1]}}], "group_by": ["order.status"]}, {"status": ("order.status", S), "x": ("x", N)},
+     f"SELECT o_orderstatus AS status, {R('round(cast(' + REV + ' - count(*) as double) / 1000, 1)')} AS x FROM orders GROUP BY 1")
+_ask("two_leaves", {"select": ["orders", "quantity"], "group_by": ["customer.segment"]}, {"segment": ("customer.segment", S), "orders": ("orders", B), "quantity": ("quantity", N)},
+     f"SELECT * FROM (SELECT c_mktsegment AS segment, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) FULL JOIN (SELECT c_mktsegment AS segment, {R('sum(l_quantity)')} AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1) USING (segment)")
+_ask("child_group_counts_once", {"select": ["revenue", "orders"], "group_by": ["part.brand"]}, {"brand": ("part.brand", S), "revenue": ("revenue", N), "orders": ("orders", B)},
+     f"SELECT brand, {R(REV)} AS revenue, count(*) AS orders FROM (SELECT DISTINCT o_orderkey, o_totalprice, p_brand AS brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) GROUP BY 1")
+_big = [{"id": "lineitem.flag", "value": "R"}, {"id": "lineitem.quantity", "word": "gt", "value": 45}]
+_ask("any_child", {"select": ["orders"], "group_by": ["order.status"], "where": [{"any": "lineitem", "where": _big}]}, {"status": ("order.status", S), "orders": ("orders", B)}, "SELECT o_orderstatus AS status, count(*) AS orders FROM orders WHERE EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 45) GROUP BY 1")
+_ask("no_child", {"select": ["orders"], "group_by": ["order.status"], "where": [{"none": "lineitem", "where": _big}]}, {"status": ("order.status", S), "orders": ("orders", B)}, "SELECT o_orderstatus AS status, count(*) AS orders FROM orders WHERE NOT EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 45) GROUP BY 1")
+_per = "(SELECT o_custkey AS k, count(*) AS v FROM orders {w} GROUP BY 1)"
+for _name, _having, _over, _sql in (
+    ("threshold_all_time", {"id": "orders", "value": 10}, "all_time", f"o_custkey IN (SELECT k FROM {_per.format(w='')} WHERE v >= 10)"),
+    ("threshold_in_window", {"id": "orders", "value": 3}, {"start": "1996-01-01", "end": "1997-01-01"}, "o_custkey IN (SELECT k FROM " + _per.format(w="WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1997-01-01'") + " WHERE v >= 3)"),
+    ("threshold_that_zero_meets", {"id": "orders", "word": "lt", "value": 2}, {"start": "1996-01-01", "end": "1997-01-01"}, "o_custkey NOT IN (SELECT k FROM " + _per.format(w="WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1997-01-01'") + " WHERE NOT v < 2)"),
+    ("threshold_percentile", {"id": "orders", "value": {"percentile": 0.9}}, "all_time", f"o_custkey IN (SELECT k FROM {_per.format(w='')} WHERE v >= (SELECT quantile_cont(v, 0.9) FROM {_per.format(w='')}))"),
+):
+    _ask(_name, {"select": ["revenue"], "group_by": ["customer.segment"], "where": [{"entity": "customer", "having": _having, "over": _over}]}, {"segment": ("customer.segment", S), "revenue": ("revenue", N)},
+         f"SELECT c_mktsegment AS segment, {R(REV)} AS revenue FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_sql} GROUP BY 1")
+_ask("monthly_series", {"select": ["orders"], "time": {"grain": "month", "start": "1995-06-01", "end": "1996-06-01"}, "group_by": ["order.status"]}, {"period": ("period", D), "status": ("order.status", S), "orders": ("orders", B)},
+     f"WITH s AS (SELECT cast(unnest(generate_series(DATE '1995-06-01', DATE '1996-05-01', INTERVAL 1 MONTH)) AS DATE) AS period), f AS (SELECT {MON} AS period, o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderdate >= '1995-06-01' AND o_orderdate < '1996-06-01' GROUP BY ALL) SELECT s.period, g.status, coalesce(f.n, 0) AS orders FROM s CROSS JOIN (SELECT DISTINCT status FROM f) g LEFT JOIN f ON f.period = s.period AND f.status = g.status")
+_ask("relative_window", {"select": ["orders", {"id": "revenue", "as": "mean", "agg": "avg"}], "time": {"grain": "week", "now": "1996-02-14", "last": {"unit": "week", "value": 8}}}, {"period": ("period", D), "orders": ("orders", B), "mean": ("mean", N)},
+     f"SELECT cast(date_trunc('week', o_orderdate) as date) AS period, count(*) AS orders, {R('cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*)')} AS mean FROM orders WHERE o_orderdate >= '1995-12-18' AND o_orderdate < '1996-02-12' GROUP BY 1")
+_ask("window_total", {"select": ["revenue"], "time": {"start": "1996-01-01", "end": "1996-07-01"}, "group_by": ["region.name"], "routes": {"order->region": ["customer", "nation", "region"]}}, {"region": ("region.name", S), "revenue": ("revenue", N)},
+     f"SELECT r_name AS region, {R(REV)} AS revenue FROM {OCN} JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1996-07-01' GROUP BY 1")
+_w = lambda k, i=M("revenue"), **x: {"as": k, "expr": {"kind": k, "input": i, **x}}
+_MS = f"WITH f AS (SELECT {MON} AS period, c_mktsegment AS segment, {REV} AS v, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), s AS (SELECT cast(unnest(generate_series((SELECT min(period) FROM f), (SELECT max(period) FROM f), INTERVAL 1 MONTH)) AS DATE) AS period), d AS (SELECT s.period, g.segment, coalesce(f.v, 0) AS v, coalesce(f.n, 0) AS n FROM s CROSS JOIN (SELECT DISTINCT segment FROM f) g LEFT JOIN f ON f.period = s.period AND f.segment = g.segment) "
+_ask("look_backs", {"select": [_w("rolling", unit="month", value=3), _w("prior_period", unit="year", value=1), _w("cumulative"), _w("period_to_date", period="year")], "time": {"grain": "month"}, "group_by": ["customer.segment"]},
+     {"period": ("period", D), "segment": ("customer.segment", S), **{k: (k, N) for k in ("rolling", "prior_period", "cumulative", "period_to_date")}},
+     _MS + f"SELECT period, segment, {R('sum(v) OVER (w ROWS 2 PRECEDING)')} AS rolling, {R('lag(v, 12) OVER w')} AS prior_period, {R('sum(v) OVER (w ROWS UNBOUNDED PRECEDING)')} AS cumulative, {R('sum(v) OVER (PARTITION BY segment, year(period) ORDER BY period ROWS UNBOUNDED PRECEDING)')} AS period_to_date FROM d WINDOW w AS (PARTITION BY segment ORDER BY period)")
+_ask("rolling_ratio", {"select": [{"as": "rolling", "expr": {"kind": "rolling", "input": PACKAGE.metrics["aov"], "unit": "quarter", "value": 1}}], "time": {"grain": "month"}, "group_by": ["customer.segment"]}, {"period": ("period", D), "segment": ("customer.segment", S), "rolling": ("rolling", N)},
+     _MS + f"SELECT period, segment, {R('cast(sum(v) OVER w as double) / nullif(sum(n) OVER w, 0)')} AS rolling FROM d WINDOW w AS (PARTITION BY segment ORDER BY period ROWS 2 PRECEDING)")
+_rn = {"order->region": ["customer", "nation", "region"], "order->nation": ["customer", "nation"]}
+_ask("share_and_total", {"select": ["revenue", _w("share", over=["nation.name"]), {"as": "buyers", "expr": {"kind": "total", "input": M("customers"), "over": ["nation.name"]}}], "group_by": ["region.name", "nation.name"], "routes": _rn}, {"region": ("region.name", S), "nation": ("nation.name", S), "share": ("share", N), "buyers": ("buyers", B)},
+     f"WITH f AS (SELECT r_name AS region, n_name AS nation, {REV} AS v FROM {OCN} JOIN region ON n_regionkey = r_regionkey GROUP BY ALL), t AS (SELECT r_name AS region, count(DISTINCT o_custkey) AS buyers FROM {OCN} JOIN region ON n_regionkey = r_regionkey GROUP BY ALL) SELECT region, nation, {R('cast(v as double) / cast(sum(v) OVER (PARTITION BY region) as double)')} AS share, buyers FROM f JOIN t USING (region)")
+_ask("totals_rows", {"select": ["customers"], "group_by": ["region.name", "order.status"], "totals": ["region.name", "order.status"], "routes": _rn}, {"region": ("region.name", S), "status": ("order.status", S), "customers": ("customers", B)},
+     f"SELECT r_name AS region, o_orderstatus AS status, count(DISTINCT o_custkey) AS customers FROM {OCN} JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, o_orderstatus)")
+_ask("distribution", {"select": [{"as": "median", "expr": {"kind": "distribution", "agg": "median", "entity": "customer", "input": M("revenue")}}, {"as": "p80", "expr": {"kind": "distribution", "agg": "percentile", "p": 0.8, "entity": "customer", "input": M("revenue")}}], "group_by": ["customer.segment"]}, {"segment": ("customer.segment", S), "median": ("median", N), "p80": ("p80", N)},
+     f"SELECT segment, {R('median(v)')} AS median, {R('quantile_cont(v, 0.8)')} AS p80 FROM (SELECT c_mktsegment AS segment, c_custkey, cast({REV} as double) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) GROUP BY 1")
+_ask("conversion", {"select": [{"as": "rate", "expr": {"kind": "conversion", "base": {"id": "events", "where": [{"id": "event.type", "value": "view"}]}, "converted": {"id": "events", "where": [{"id": "event.type", "value": "purchase"}]}, "entity": "event.user", "window": {"unit": "day", "value": 2}}}], "group_by": ["customer.segment"]}, {"segment": ("customer.segment", S), "rate": ("rate", N)},
+     f"SELECT c_mktsegment AS segment, {R('avg(CASE WHEN EXISTS (FROM events p WHERE p.event_type = ' + chr(39) + 'purchase' + chr(39) + ' AND p.user_id = v.user_id AND p.ts >= v.ts AND p.ts < v.ts + INTERVAL 2 DAY) THEN 1.0 ELSE 0.0 END)')} AS rate FROM events v JOIN customer ON v.user_id = c_custkey WHERE v.event_type = 'view' GROUP BY 1")
+_ask("stock_closing_day", {"select": ["active"], "time": {"grain": "week", "start": "2024-01-01", "end": "2024-01-29"}, "group_by": ["customer.segment"]}, {"period": ("period", D), "segment": ("customer.segment", S), "active": ("active", B)},
+     "WITH u AS (SELECT user_id, cast(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= '2024-01-01' AND ts < '2024-01-29' GROUP BY ALL), w AS (SELECT *, cast(date_trunc('week', day) AS DATE) AS period FROM u), e AS (SELECT period, max(day) AS day FROM w GROUP BY 1), f AS (SELECT w.period, c_mktsegment AS segment, sum(n) AS active FROM w JOIN e USING (period, day) JOIN customer ON user_id = c_custkey GROUP BY ALL) SELECT p.period, g.segment, cast(f.active AS BIGINT) AS active FROM (SELECT DISTINCT period FROM w) p CROSS JOIN (SELECT DISTINCT segment FROM f) g LEFT JOIN f ON f.period = p.period AND f.segment = g.segment")
+_ask("history_join", {"select": ["revenue"], "time": {"start": "1997-01-01", "end": "1999-01-01"}, "group_by": ["history.segment"]}, {"segment": ("history.segment", S), "revenue": ("revenue", N)},
+     f"WITH h AS (SELECT c_custkey, c_mktsegment AS segment, TIMESTAMP '1990-01-01' AS a, TIMESTAMP '1998-01-01' AS b FROM customer UNION ALL SELECT c_custkey, c_mktsegment || '+', TIMESTAMP '1998-01-01', NULL FROM customer WHERE c_custkey % 3 <> 0) SELECT segment, {R(REV)} AS revenue FROM orders LEFT JOIN h ON o_custkey = c_custkey AND a <= o_orderdate AND (b IS NULL OR b > o_orderdate) WHERE o_orderdate >= '1997-01-01' AND o_orderdate < '1999-01-01' GROUP BY 1")
+_ask("joined_parts", {"parts": [{"select": ["orders"], "group_by": ["customer.key"]}, {"select": ["events"], "group_by": ["customer.key"], "where": [{"id": "event.type", "value": "purchase"}]}], "join": [["customer.key"], ["customer.key"]]}, {"customer": ("key0", B), "orders": ("orders", B), "events": ("events", B), "has_events": ("in1", "boolean")},
+     "SELECT coalesce(a.k, b.k) AS customer, a.n AS orders, b.n AS events, b.k IS NOT NULL AS has_events FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON a.k = b.k")
+_ask("lookup_with_misses", {"select": ["documents", "characters"], "group_by": ["document.lang", "label.quality"]}, {"lang": ("document.lang", S), "quality": ("label.quality", B), "documents": ("documents", B), "characters": ("characters", B)}, "SELECT lang, cast(quality AS BIGINT) AS quality, count(*) AS documents, cast(sum(n_chars) AS BIGINT) AS characters FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL")
+
+
+def _pipe(name: str, steps: list[dict], shape: dict[str, tuple[str, str]], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _shaped(run_pipeline(spark, parquet_folder(spark, sf_dir, DERIVED), steps), shape)
+    ORACLES[name] = sql
+
+
+_pipe("pipeline_json_window", [{"source": {"relation": "events"}}, {"where": [{"column": "event_type", "word": "is", "value": ["view", "click"]}]}, {"json_extract": {"column": "props", "path": ["k"], "as": "k"}}, {"window": {"nth": {"function": "row_number", "partition_by": ["user_id"], "order_by": ["ts", "event_id"]}}}, {"where": ["nth <= 3"]}, {"select": {"columns": {"event_id": "event_id", "k": "k", "nth": "nth"}}}],
+      {"event_id": ("event_id", B), "k": ("k", S), "nth": ("nth", B)}, "SELECT event_id, k, nth FROM (SELECT event_id, json_extract_string(props, '$.k') AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE event_type IN ('view', 'click')) WHERE nth <= 3")
+_pipe("pipeline_pre_aggregated_join", [{"source": {"relation": "customer"}}, {"join": {"relation": "orders", "pre_aggregate": {"dimensions": ["o_custkey"], "aggregates": {"n": {"fn": "count"}, "status": {"fn": "single_value", "expr": "o_orderstatus"}}}, "on": [{"left": "c_custkey", "right": "o_custkey"}], "type": "left", "select": {"c_custkey": "c_custkey", "n": "n", "status": "status"}}}],
+      {"customer": ("c_custkey", B), "n": ("n", B), "status": ("status", S)}, "SELECT c_custkey AS customer, n, status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, CASE WHEN min(o_orderstatus) = max(o_orderstatus) THEN max(o_orderstatus) END AS status FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+_pipe("pipeline_anti_join", [{"source": {"relation": "orders", "columns": ["o_orderkey", "o_custkey"]}}, {"anti_join": {"relation": "lineitem", "on": [{"left": "o_orderkey", "right": "l_orderkey"}], "where": ["l_quantity > 10"]}}], {"o_orderkey": ("o_orderkey", B)}, "SELECT o_orderkey FROM orders WHERE NOT EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 10)")
+_pipe("pipeline_union_explode", [{"union_all": {"branches": [{"relation": "nation", "columns": ["n_name"]}, {"relation": "region", "columns": ["r_name"]}]}}, {"explode": {"column": "n_name", "delimiter": " ", "as": "word"}}, {"group_by": {"dimensions": ["word"], "aggregates": {"n": {"fn": "count"}}}}], {"word": ("word", S), "n": ("n", B)},
+      "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(x, ' ')) AS word FROM (SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region)) GROUP BY 1")
+_pipe("pipeline_attribution", [{"source": {"relation": "events", "columns": ["event_id", "user_id", "ts", "event_type"]}}, {"where": ["event_type = 'signup'"]}, {"attribution_join": {"relation": "orders", "on": [{"left": "user_id", "right": "o_custkey"}], "base_time": "ts", "attributed_time": "o_orderdate", "lookback": {"unit": "day", "value": 30}, "select": {"event_id": "event_id", "o_orderkey": "o_orderkey"}}}],
+      {"event_id": ("event_id", B), "order": ("o_orderkey", B)}, "SELECT event_id, o_orderkey AS \"order\" FROM events LEFT JOIN orders ON user_id = o_custkey AND o_orderdate >= ts AND date_diff('day', ts, o_orderdate) <= 30 WHERE event_type = 'signup'")
 
 
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["revenue_by_nation"](spark, sf_dir)

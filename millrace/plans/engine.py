@@ -22,6 +22,7 @@ from ..functions.words import condition
 from . import clock as clocks
 from .leaf import Reader, Relation, snapshot, statistic
 from .model import Measure, Package
+from .routes import child_route, lookups
 
 KEYS = {"select", "group_by", "where", "having", "time", "order_by", "limit", "routes", "totals", "observation_scope"}
 WINDOWED = {"rolling", "prior_period", "cumulative", "period_to_date"}
@@ -193,7 +194,8 @@ class Engine:
             if c.entity != m.entity:
                 t = reader.column(c.entity, c.column)
                 reader.df = reader.df.withColumn("__at", t)
-            reader.at = at = "__at"
+            at = "__at"
+            reader.at = at if time else None  # a history is entered at the query's time only
         elif time:
             raise SemanticError("MIXED_TIME_ROLES", f"{r.get('id')} has no clock")
         reader.where([*call.get("where", []), *source.get("where", [])])
@@ -209,10 +211,11 @@ class Engine:
         keys = [c.alias(g) for g, c in cols.items()] + ([bucket.alias("period")] if bucket is not None else [])
         if r["kind"] == "distribution":
             return self._distribution(reader, names[0], r, m, keys)
-        value = {n: reader.column(m.entity, m.expr) for n in names}
         if fan:
-            return self._deduplicated(reader, names, specs, m, keys, value)
-        return reader.df.groupBy(*keys).agg(*[c for n, x in zip(names, specs, strict=True) for c in self._statistics(reader, n, x, m if x is r else self._measure(x["id"]), at)])
+            measures = [m if x is r else self._measure(x["id"]) for x in specs]
+            return self._deduplicated(reader, names, specs, measures, keys)
+        got = [c for n, x in zip(names, specs, strict=True) for c in self._statistics(reader, n, x, m if x is r else self._measure(x["id"]), at)]
+        return reader.df.groupBy(*keys).agg(*got)
 
     def _statistics(self, reader: Reader, name: str, x: dict, m: Measure, at: str | None) -> list[Column]:
         value = reader.column(m.entity, m.expr)
@@ -241,12 +244,10 @@ class Engine:
                 if e.code != "PATH_NOT_FOUND":
                     raise
                 d = self.package.dimensions[g]
-                from .routes import child_route
-
-                hops = child_route(self.package, m.entity, d.entity, reader.routes)
+                hops = self._child(m.entity, d.entity, reader.routes)
                 if not self.package.entities[m.entity].key or m.stock is not None:
                     raise SemanticError("MIXED_GRAIN_INVALID", f"{g} would multiply rows of {m.entity}") from None
-                child = Reader(self.package, self.relation, d.entity, reader.routes)
+                child = Reader(self.package, self.relation, hops[0].source, reader.routes)
                 value = child.dimension(g)
                 for hop in hops[:-1]:
                     child.reach(hop.target)
@@ -255,14 +256,29 @@ class Engine:
                 cols[g], fan = F.col(f"`__{g}`"), True
         return cols, fan
 
-    def _deduplicated(self, reader: Reader, names: list[str], specs: list[dict], m: Measure, keys: list[Column], value: dict[str, Column]) -> DataFrame:
+    def _child(self, parent: str, goal: str, asked: dict | None) -> tuple:
+        """The hops from rows that look up both to the parent: the goal itself, or one child of the parent that can look the goal up."""
+        try:
+            return child_route(self.package, parent, goal, asked)
+        except SemanticError as e:
+            if e.code != "PATH_NOT_FOUND":
+                raise
+        found = [r for r in self.package.relationships if r.target == parent and lookups(self.package, r.source, goal)]
+        if len(found) != 1:
+            raise SemanticError("AMBIGUOUS_PATH" if found else "PATH_NOT_FOUND", f"{len(found)} children of {parent} lead to {goal}", options=[r.source for r in found])
+        return (found[0],)
+
+    def _deduplicated(self, reader: Reader, names: list[str], specs: list[dict], measures: list[Measure], keys: list[Column]) -> DataFrame:
         """Each row counts once in every group that it has a child in."""
-        if any(x.get("agg", m.agg) not in ("sum", "count", "avg", "count_distinct") for x in specs):
+        m = measures[0]
+        value = {n: reader.column(m.entity, x.expr) for n, x in zip(names, measures, strict=True)}
+        aggs = [x.get("agg", y.agg) for x, y in zip(specs, measures, strict=True)]
+        if any(x["kind"] != "measure" for x in specs) or not set(aggs) <= {"sum", "count", "avg", "count_distinct"}:
             raise SemanticError("REWRITE_NOT_SUPPORTED", "only sum, count, avg and count_distinct can be grouped by a child")
         own = [F.col(f"{m.entity}${k}").alias(f"__key{i}") for i, k in enumerate(self.package.entities[m.entity].key)]
         once = reader.df.select(*own, *keys, *[v.alias(f"__v{n}") for n, v in value.items()]).distinct()
         by = [c for c in once.columns if not c.startswith(("__key", "__v"))]
-        return once.groupBy(*[F.col(f"`{c}`") for c in by]).agg(*[c for n, x in zip(names, specs, strict=True) for c in (statistic(x.get("agg", m.agg), F.col(f"__v{n}")).alias(n), F.count(F.col(f"__v{n}")).alias(f"{n}n"))])
+        return once.groupBy(*[F.col(f"`{c}`") for c in by]).agg(*[c for n, agg in zip(names, aggs, strict=True) for c in (statistic(agg, F.col(f"__v{n}")).alias(n), F.count(F.col(f"__v{n}")).alias(f"{n}n"))])
 
     def _distribution(self, reader: Reader, name: str, r: dict, m: Measure, keys: list[Column]) -> DataFrame:
         """A statistic over one value per entity and group; rows without the entity don't count."""

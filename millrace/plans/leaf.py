@@ -28,7 +28,9 @@ def statistic(agg: str, value: Column, clock: Column | None = None, p: float | N
         if p is None or not 0 <= p <= 1:
             raise SemanticError("UNSUPPORTED_AGGREGATION", "percentile needs p between 0 and 1")
         return F.percentile(value, F.lit(p))
-    return {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median}[agg](value)
+    if agg == "avg":  # of an exact sum, so the result doesn't depend on the order of rows
+        return F.sum(value).cast("double") / F.nullif(F.count(value), F.lit(0))
+    return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "median": F.median}[agg](value)
 
 
 class Reader:
@@ -84,7 +86,8 @@ class Reader:
             if "any" in c or "none" in c or "having" in c:
                 self.entity_filter(c)
             else:
-                self.df = self.df.where(condition(self.dimension(c["id"]), c.get("word", "is"), c["value"]))
+                test = condition(self.dimension(c["id"]), c.get("word", "is"), c["value"])  # may join first
+                self.df = self.df.where(test)
 
     def entity_filter(self, c: dict) -> None:
         """{"any"/"none": child, "where": [...]}: some or no child row meets all conditions together."""
