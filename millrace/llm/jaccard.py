@@ -153,7 +153,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     release(spark)
     near = members.join(known.select("a", "b", "d"), (F.least("node", "p") == F.col("a")) & (F.greatest("node", "p") == F.col("b")), "left")
     left = staged(near.select("s", "node", "n", F.col("d")), "region")
-    wide = 1
+    wide = 8
     while True:
         # what is left of a region: texts that no pivot has met, with the class they are in so far
         named = left.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -165,9 +165,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         chosen = staged(ranked.select("s", F.col("node").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("root").alias("rp")), "chosen")
         window = F.coalesce(F.abs(F.col("d") - F.col("dp")) <= radius + 1e-9, F.lit(True))
         meet = open_.join(chosen, "s").where((F.col("root") != F.col("rp")) & fits(F.col("n"), F.col("np")) & window)
-        fresh = meet.select(*pair("node", "p")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        more = staged(_verified(fresh, nodes, percent), "distances")
-        known = staged(known.unionByName(more), "known")
+        more = staged(_verified(meet.select(*pair("node", "p")).distinct(), nodes, percent), "distances")
         links = staged(links.unionByName(more.where("linked").select("a", "b")), "links")
         labels = components(links)
         left = staged(open_.join(chosen.select("s", F.col("p").alias("node")), ["s", "node"], "left_anti").select("s", "node", "n", "d"), "region")
