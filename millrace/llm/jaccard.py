@@ -5,8 +5,11 @@ window of the triangle inequality takes it to all regions. Here regions are cut
 texts hold a shingle, and two texts within the threshold share a shingle among the rarest n - ceil(t*n) + 1 of either; each such shingle
 that more than one text holds is a region, its pivot the text of least hash in it. Every text of a region is compared with the pivot. Texts
 within the threshold of it are in its class. Two others can only be a pair if their distances to the pivot differ by no more than the
-radius (the window of the triangle inequality), their sizes fit and they are in different classes so far; regions that still hold such texts
-are joined again with more pivots, until none is left. Equal sets are one node from the start, so a group of copies is one text.
+radius (the window of the triangle inequality), their sizes fit, they are in different classes so far and their sketches allow it; regions
+that still hold such texts are joined again with more pivots, until none is left. Equal sets are one node from the start, so a group of copies
+is one text. A sketch bounds the symmetric difference of two sets from below: what no other text holds is in it, and so is at least one
+shingle for each bit in which the parities of their other shingles by SKETCH hash bits differ. A text most of whose shingles no other
+holds is in no region.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ from .roundtrip import NULL_ID, Doc, round_trip, units
 from .shared import release, staged
 
 WORDS, PERCENT = 5, 75
+#: Bits of a sketch; more exclude more pairs of long texts, none excludes a pair within the threshold.
+SKETCH = 512
+LANES = [f"g{i}" for i in range(SKETCH // 64)]
 LOAD = np.dtype([("n", np.uint8), ("check", np.uint32)])
 
 
@@ -73,7 +79,13 @@ def _answer(keys: np.ndarray, loads: np.ndarray, who: np.ndarray) -> np.ndarray:
     return out
 
 
-FIELDS = [("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("shared", pa.bool_()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())]
+FIELDS = [("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("shared", pa.bool_()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary()), ("rare", pa.int32()), *((g, pa.int64()) for g in LANES)]
+BARE = (None,) * (2 + len(LANES))
+
+
+def _sketch(s: np.ndarray) -> list[int]:
+    parity = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _use_for(percent: int):
@@ -86,7 +98,7 @@ def _use_for(percent: int):
             node = int(mix(np.array([one], np.uint64) + np.uint64(two)).view(np.int64)[0])
             doc = None if d.id == NULL_ID else d.id
             if not n:
-                rows.append((0, doc, None, 0, False, None, None))
+                rows.append((0, doc, None, 0, False, None, *BARE))
                 continue
             kinds = codes[slot[at : at + n]]
             at += n
@@ -96,11 +108,13 @@ def _use_for(percent: int):
             first = copies < 2 and node not in seen
             if first:
                 seen.add(node)
-                order = np.lexsort((s, kinds))[: n - -(-percent * n // 100) + 1]
-                prefix = s[order][kinds[order] > 0]
+                held = s[kinds > 0]
+                if 100 * len(held) >= percent * n:
+                    order = np.lexsort((s, kinds))[: n - -(-percent * n // 100) + 1]
+                    prefix = s[order][kinds[order] > 0]
                 if len(prefix):
-                    rows.append((1, doc, node, n, True, prefix.view(np.int64), s.tobytes()))
-            rows.append((0, doc, node, n, bool(copies or len(prefix) or not first), None, None))
+                    rows.append((1, doc, node, n, True, prefix.view(np.int64), s.tobytes(), n - len(held), *_sketch(held)))
+            rows.append((0, doc, node, n, bool(copies or len(prefix) or not first), None, *BARE))
         for a in range(0, len(rows), 512):
             cols = zip(*rows[a : a + 512], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, FIELDS, strict=True)], [n for n, _ in FIELDS])
@@ -133,13 +147,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     """
     spark = documents.sparkSession
     rows, n_units = units(documents, id_col, text_col)
-    schema = "kind int, doc_id long, node long, n int, shared boolean, prefix array<long>, shingles binary"
+    schema = "kind int, doc_id long, node long, n int, shared boolean, prefix array<long>, shingles binary, rare int, " + ", ".join(f"{g} long" for g in LANES)
     work = round_trip(rows, n_units, _asks_for(words), _answer, _use_for(percent), schema, LOAD, np.dtype(np.uint8), low_bits=32)
     found = staged(work, "jaccard")
     del rows, work
     release(spark)
     docs = found.where("kind = 0").select("doc_id", "node", "n", "shared")
     nodes = found.where("kind = 1").select("node", "n", "shingles")
+    sketches = found.where("kind = 1").select("node", "rare", *LANES)
     radius = 1 - percent / 100
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     held = found.where("kind = 1").select("node", "n", F.explode("prefix").alias("s"))
@@ -153,23 +168,25 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     release(spark)
     near = members.join(known.select("a", "b", "d"), (F.least("node", "p") == F.col("a")) & (F.greatest("node", "p") == F.col("b")), "left")
     left = staged(near.select("s", "node", "n", F.col("d")), "region")
-    wide = 8
+    wide = 1
     while True:
         # what is left of a region: texts that no pivot has met, with the class they are in so far
         named = left.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-        open_ = staged(named.join(staged(mixed, "mixed"), "s", "left_semi"), "open")
+        open_ = staged(named.join(staged(mixed, "mixed"), "s", "left_semi").join(sketches, "node"), "open")
         if not open_.limit(1).count():
             break
         ranked = open_.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("node"))).where(F.col("k") <= wide)
-        chosen = staged(ranked.select("s", F.col("node").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("root").alias("rp")), "chosen")
+        chosen = staged(ranked.select("s", F.col("node").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("root").alias("rp"), F.col("rare").alias("rare_p"), *(F.col(g).alias(f"{g}_p") for g in LANES)), "chosen")
         window = F.coalesce(F.abs(F.col("d") - F.col("dp")) <= radius + 1e-9, F.lit(True))
-        meet = open_.join(chosen, "s").where((F.col("root") != F.col("rp")) & fits(F.col("n"), F.col("np")) & window)
+        apart = sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"{g}_p"))) for g in LANES), F.col("rare") + F.col("rare_p"))
+        near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("np"))
+        meet = open_.join(chosen, "s").where((F.col("root") != F.col("rp")) & fits(F.col("n"), F.col("np")) & window & near)
         more = staged(_verified(meet.select(*pair("node", "p")).distinct(), nodes, percent), "distances")
         links = staged(links.unionByName(more.where("linked").select("a", "b")), "links")
         labels = components(links)
         left = staged(open_.join(chosen.select("s", F.col("p").alias("node")), ["s", "node"], "left_anti").select("s", "node", "n", "d"), "region")
-        wide *= 2
+        wide *= 8
     tagged = staged(docs.where("shared").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n", "root"), "classes")
     least = staged(tagged.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     joined = tagged.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
