@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.pipelines import run_pipeline
 from .plans.engine import Engine
-from .plans.model import Clock, Dimension, Entity, Measure, Package, Relationship
+from .plans.model import Clock, Dimension, Entity, Measure, Package, Relationship, Rollup
 from .sources.relations import parquet_folder
 
 MONEY = "decimal(18,2)"
@@ -15,6 +17,7 @@ MONEY = "decimal(18,2)"
 DERIVED = {
     "orders_null": lambda rel: rel("orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END").alias("o_custkey"), "o_orderpriority", "o_totalprice"),
     "user_days": lambda rel: rel("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events")).select(F.col("user_id"), F.col("day").cast("timestamp_ntz").alias("day"), "n_events"),
+    "orders_monthly": lambda rel: rel("orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), "o_orderstatus").agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("revenue"), F.count("o_orderkey").alias("orders")),
     "customer_history": lambda rel: rel("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.expr("timestamp_ntz '1990-01-01'").alias("valid_from"), F.expr("timestamp_ntz '1998-01-01'").alias("valid_to"))
     .unionByName(rel("customer").where("c_custkey % 3 <> 0").select("c_custkey", F.concat(F.col("c_mktsegment"), F.lit("+")).alias("segment"), F.expr("timestamp_ntz '1998-01-01'").alias("valid_from"), F.expr("cast(null as timestamp_ntz)").alias("valid_to"))),
 }
@@ -37,12 +40,12 @@ PACKAGE = Package(
         "lineitem.flag": Dimension("lineitem", "l_returnflag"), "lineitem.quantity": Dimension("lineitem", "l_quantity"), "event.type": Dimension("event", "event_type"), "event.user": Dimension("event", "user_id"),
         "order_null.priority": Dimension("order_null", "o_orderpriority", ("4-NOT SPECIFIED",)), "history.segment": Dimension("history", "segment"), "document.lang": Dimension("document", "lang"), "label.quality": Dimension("label", "quality"),
     },
-    clocks={"order.date": Clock("order", "o_orderdate"), "lineitem.ship": Clock("lineitem", "l_shipdate"), "event.ts": Clock("event", "ts"), "user_day.day": Clock("user_day", "day")},
+    clocks={"order.date": Clock("order", "o_orderdate"), "lineitem.ship": Clock("lineitem", "l_shipdate"), "event.ts": Clock("event", "ts"), "user_day.day": Clock("user_day", "day"), "event.local": Clock("event", "ts", "UTC", "Asia/Kolkata")},
     measures={
         "revenue": Measure("order", f"cast(o_totalprice as {MONEY})", clock="order.date"), "orders": Measure("order", "o_orderkey", "count", clock="order.date"), "customers": Measure("order", "o_custkey", "count_distinct", clock="order.date"),
         "quantity": Measure("lineitem", f"cast(l_quantity as {MONEY})", clock="lineitem.ship"), "line_value": Measure("lineitem", f"cast(l_extendedprice as {MONEY})", clock="lineitem.ship"), "events": Measure("event", "event_id", "count", clock="event.ts"),
         "event_value": Measure("event", "value", "sum", clock="event.ts"), "revenue_null": Measure("order_null", f"cast(o_totalprice as {MONEY})"), "active": Measure("user_day", "n_events", "last_value", clock="user_day.day", stock=("user_id",)),
-        "documents": Measure("document", "doc_id", "count"), "characters": Measure("document", "n_chars"),
+        "customer_orders": Measure("event", "", "max", lookup=("customer", "orders"), clock="event.ts"), "documents": Measure("document", "doc_id", "count"), "characters": Measure("document", "n_chars"),
     },
     metrics={
         "aov": {"kind": "ratio", "numerator": {"kind": "measure", "id": "revenue"}, "denominator": {"kind": "measure", "id": "orders"}},
@@ -55,6 +58,8 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(spark, PACKAGE, parquet_folder(spark, sf_dir, DERIVED))
 
 
+#: The same with a table of monthly sums, which the engine reads where it holds all that a call asks for.
+ROLLED = replace(PACKAGE, rollups=(Rollup("orders_monthly", {"revenue": "revenue", "orders": "orders"}, {"order.status": "o_orderstatus"}, "order.date", "month", "month"),))
 QUERIES: dict = {}
 ORACLES: dict = {}
 M = lambda i: {"kind": "measure", "id": i}
@@ -141,6 +146,17 @@ _ask("joined_parts", {"parts": [{"select": ["orders"], "group_by": ["customer.ke
      "SELECT coalesce(a.k, b.k) AS customer, a.n AS orders, b.n AS events, b.k IS NOT NULL AS has_events FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON a.k = b.k")
 _ask("lookup_with_misses", {"select": ["documents", "characters"], "group_by": ["document.lang", "label.quality"]}, {"lang": ("document.lang", S), "quality": ("label.quality", B), "documents": ("documents", B), "characters": ("characters", B)}, "SELECT lang, cast(quality AS BIGINT) AS quality, count(*) AS documents, cast(sum(n_chars) AS BIGINT) AS characters FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL")
 
+_ask("single_value", {"select": [{"id": "customers", "as": "customer", "agg": "single_value"}], "group_by": ["order.price"]}, {"price": ("order.price", N), "customer": ("customer", B)},
+     f"SELECT {R('o_totalprice')} AS price, CASE WHEN min(o_custkey) = max(o_custkey) THEN max(o_custkey) END AS customer FROM orders GROUP BY o_totalprice")
+_ask("parent_lookup", {"select": [{"id": "customer_orders", "as": "most"}, {"id": "customer_orders", "as": "mean", "agg": "avg"}], "group_by": ["event.type"]}, {"type": ("event.type", S), "most": ("most", B), "mean": ("mean", N)},
+     f"SELECT event_type AS type, max(n) AS most, {R('cast(sum(n) as double) / count(n)')} AS mean FROM (SELECT event_type, CASE WHEN c_custkey IS NOT NULL THEN coalesce(n, 0) END AS n FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey) GROUP BY 1")
+_ask("clock_zone", {"select": ["events"], "time": {"grain": "day", "clock": "event.local"}, "group_by": ["event.type"]}, {"period": ("period", D), "type": ("event.type", S), "events": ("events", B)},
+     "SELECT cast(ts + INTERVAL 330 MINUTE AS DATE) AS period, event_type AS type, count(*) AS events FROM events GROUP BY ALL")
+QUERIES["rollup_routing"] = lambda spark, sf_dir: _shaped(Engine(spark, ROLLED, parquet_folder(spark, sf_dir, DERIVED)).query({"select": ["revenue", "orders"], "time": {"grain": "quarter", "start": "1996-01-01", "end": "1999-01-01"}, "group_by": ["order.status"]}), {"period": ("period", D), "status": ("order.status", S), "revenue": ("revenue", N), "orders": ("orders", B)})
+ORACLES["rollup_routing"] = f"WITH s AS (SELECT cast(unnest(generate_series(DATE '1996-01-01', DATE '1998-10-01', INTERVAL 3 MONTH)) AS DATE) AS period), f AS (SELECT cast(date_trunc('quarter', o_orderdate) as date) AS period, o_orderstatus AS status, {REV} AS v, count(*) AS n FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1999-01-01' GROUP BY ALL) SELECT s.period, g.status, {R('coalesce(f.v, 0)')} AS revenue, coalesce(f.n, 0) AS orders FROM s CROSS JOIN (SELECT DISTINCT status FROM f) g LEFT JOIN f ON f.period = s.period AND f.status = g.status"
+QUERIES["valid_values"] = lambda spark, sf_dir: engine(spark, sf_dir).values("part.brand", contains="brand", limit=10, offset=5).select(F.col("value").alias("brand"))
+ORACLES["valid_values"] = "SELECT DISTINCT p_brand AS brand FROM part WHERE contains(lower(p_brand), 'brand') ORDER BY 1 LIMIT 10 OFFSET 5"
+
 
 def _pipe(name: str, steps: list[dict], shape: dict[str, tuple[str, str]], sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: _shaped(run_pipeline(spark, parquet_folder(spark, sf_dir, DERIVED), steps), shape)

@@ -11,6 +11,10 @@ GRAINS = ("day", "week", "month", "quarter", "year")
 ROWS = {("day", "day"): 1, ("day", "week"): 7, ("week", "week"): 1, ("month", "month"): 1, ("month", "quarter"): 3, ("month", "year"): 12, ("quarter", "quarter"): 1, ("quarter", "year"): 4, ("year", "year"): 1}
 
 
+#: Grains that periods of a grain add up to.
+COARSER = {"day": GRAINS, "week": ("week",), "month": ("month", "quarter", "year"), "quarter": ("quarter", "year"), "year": ("year",)}
+
+
 def trunc(d: date, unit: str) -> date:
     if unit == "week":
         return d - timedelta(days=d.weekday())

@@ -21,7 +21,7 @@ from ..functions.scalars import divide
 from ..functions.words import condition
 from . import clock as clocks
 from .leaf import Reader, Relation, snapshot, statistic
-from .model import Measure, Package
+from .model import Measure, Package, Rollup
 from .routes import child_route, lookups
 
 KEYS = {"select", "group_by", "where", "having", "time", "order_by", "limit", "routes", "totals", "observation_scope"}
@@ -100,6 +100,15 @@ class Engine:
                     raise
         raise SemanticError("PATH_NOT_FOUND", "no entity of the list can look up the others")
 
+    def values(self, dimension: str, contains: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+        """A page of a dimension's known values in order; `contains` is read as the filter word is."""
+        reader = Reader(self.package, self.relation, self.package.dimensions[dimension].entity if dimension in self.package.dimensions else next(iter(self.package.entities)))
+        value = reader.dimension(dimension)
+        df = reader.df.select(value.alias("value")).where("value is not null")
+        if contains is not None:
+            df = df.where(condition(F.col("value"), "contains", contains))
+        return df.distinct().orderBy("value").offset(offset).limit(limit)
+
     # -- one level of groups ------------------------------------------------------------------------------------------------------------
 
     def _level(self, call: dict, items: list[tuple[str, dict]]) -> DataFrame:
@@ -183,6 +192,8 @@ class Engine:
             return conversion(self, names[0], r, call)
         m = self._measure(r.get("id") or r["input"]["id"])
         source = r["input"] if r["kind"] == "distribution" else r
+        if found := self._rollup(specs, call):
+            return self._rolled(found, names, specs, call)
         clock_name = time.get("clock") or source.get("clock") or m.clock
         at = None
         reader = Reader(self.package, self.relation, m.entity, call.get("routes"))
@@ -190,10 +201,8 @@ class Engine:
             if clock_name not in self.package.clocks:
                 raise SemanticError("INVALID_TEMPORAL_ROLE", f"no clock {clock_name}")
             c = self.package.clocks[clock_name]
-            reader.df = reader.df.withColumn("__at", reader.column(c.entity, c.column)) if c.entity == m.entity else reader.df
-            if c.entity != m.entity:
-                t = reader.column(c.entity, c.column)
-                reader.df = reader.df.withColumn("__at", t)
+            t = reader.clock(c)  # may join first
+            reader.df = reader.df.withColumn("__at", t)
             at = "__at"
             reader.at = at if time else None  # a history is entered at the query's time only
         elif time:
@@ -217,21 +226,56 @@ class Engine:
         got = [c for n, x in zip(names, specs, strict=True) for c in self._statistics(reader, n, x, m if x is r else self._measure(x["id"]), at)]
         return reader.df.groupBy(*keys).agg(*got)
 
+    def _rollup(self, specs: list[dict], call: dict) -> Rollup | None:
+        """A rollup that holds all that a leaf reads: its measures as they are, its dimensions, and whole periods of its clock."""
+        if any(e.row_filter for e in self.package.entities.values()) or call.get("routes"):
+            return None
+        time = call.get("time") or {}
+        start, end, _ = clocks.window(time) if time else (None, None, False)
+        for held in self.package.rollups:
+            ids = [*call.get("group_by", []), *(c.get("id", "") for x in (call, *specs) for c in x.get("where", []))]
+            if not set(ids) <= set(held.dimensions) or set(ids) & self.package.denied:
+                continue
+            if any(x["kind"] != "measure" or x["id"] not in held.measures for x in specs):
+                continue
+            measures = [self.package.measures[x["id"]] for x in specs]
+            if any(x.get("agg", m.agg) != m.agg or m.agg not in ("sum", "count") or not m.additive or m.stock is not None or m.lookup for x, m in zip(specs, measures, strict=True)):
+                continue
+            clocked = {time.get("clock") or x.get("clock") or m.clock for x, m in zip(specs, measures, strict=True)} == {held.clock}
+            whole = held.grain and all(d is None or clocks.trunc(d, held.grain) == d for d in (start, end))
+            if not time or clocked and whole and time.get("grain", held.grain) in clocks.COARSER[held.grain]:
+                return held
+        return None
+
+    def _rolled(self, held: Rollup, names: list[str], specs: list[dict], call: dict) -> DataFrame:
+        df, time = self.relation(held.table), call.get("time") or {}
+        for c in (*call.get("where", []), *specs[0].get("where", [])):
+            df = df.where(condition(F.col(held.dimensions[c["id"]]), c.get("word", "is"), c["value"]))
+        start, end, _ = clocks.window(time) if time else (None, None, False)
+        if start:
+            df = df.where(F.col(held.period) >= F.lit(start.isoformat()).cast("date"))
+        if end:
+            df = df.where(F.col(held.period) < F.lit(end.isoformat()).cast("date"))
+        keys = [F.col(held.dimensions[g]).alias(g) for g in call.get("group_by", [])]
+        if time.get("grain"):
+            keys.append(F.date_trunc(time["grain"], F.col(held.period)).cast("date").alias("period"))
+        return df.groupBy(*keys).agg(*[c for n, x in zip(names, specs, strict=True) for c in (F.sum(held.measures[x["id"]]).alias(n), F.count(F.lit(1)).alias(f"{n}n"))])
+
     def _statistics(self, reader: Reader, name: str, x: dict, m: Measure, at: str | None) -> list[Column]:
-        value = reader.column(m.entity, m.expr)
+        value, counted = reader.value(m), F.lit(1)
         agg = x.get("agg", m.agg)
         if agg not in m.allowed:
             raise SemanticError("UNSUPPORTED_AGGREGATION", f"{agg} isn't allowed on {x['id']}", allowed=m.allowed)
         if x["kind"] == "aggregate_if":
             agg = x["agg"]
             tests = [condition(reader.dimension(c["id"]), c.get("word", "is"), c["value"]) for c in x["if"]]
-            value = F.when(reduce(Column.__and__, tests), value)
+            value, counted = F.when(reduce(Column.__and__, tests), value), F.when(reduce(Column.__and__, tests), F.lit(1))
         if m.stock is not None:
             agg = "sum" if agg in ("first_value", "last_value") else agg
-        if not m.additive and agg == "sum":
+        if (not m.additive or m.lookup) and agg == "sum":
             raise SemanticError("ROLLUP_UNSAFE", f"{x['id']} can't be summed")
         got = statistic(agg, value, F.col(at) if at else None, x.get("p"))
-        return [got.alias(name), F.count(value).alias(f"{name}n")]
+        return [got.alias(name), F.count(counted).alias(f"{name}n")]  # rows, so that a sum of unknown amounts only stays unknown
 
     def _group_columns(self, reader: Reader, groups: list[str], m: Measure) -> tuple[dict[str, Column], bool]:
         """Lookups where possible; a group on a child entity makes the leaf fan out, which only keyed rows allow."""
@@ -271,14 +315,14 @@ class Engine:
     def _deduplicated(self, reader: Reader, names: list[str], specs: list[dict], measures: list[Measure], keys: list[Column]) -> DataFrame:
         """Each row counts once in every group that it has a child in."""
         m = measures[0]
-        value = {n: reader.column(m.entity, x.expr) for n, x in zip(names, measures, strict=True)}
+        value = {n: reader.value(x) for n, x in zip(names, measures, strict=True)}
         aggs = [x.get("agg", y.agg) for x, y in zip(specs, measures, strict=True)]
         if any(x["kind"] != "measure" for x in specs) or not set(aggs) <= {"sum", "count", "avg", "count_distinct"}:
             raise SemanticError("REWRITE_NOT_SUPPORTED", "only sum, count, avg and count_distinct can be grouped by a child")
         own = [F.col(f"{m.entity}${k}").alias(f"__key{i}") for i, k in enumerate(self.package.entities[m.entity].key)]
         once = reader.df.select(*own, *keys, *[v.alias(f"__v{n}") for n, v in value.items()]).distinct()
         by = [c for c in once.columns if not c.startswith(("__key", "__v"))]
-        return once.groupBy(*[F.col(f"`{c}`") for c in by]).agg(*[c for n, agg in zip(names, aggs, strict=True) for c in (statistic(agg, F.col(f"__v{n}")).alias(n), F.count(F.col(f"__v{n}")).alias(f"{n}n"))])
+        return once.groupBy(*[F.col(f"`{c}`") for c in by]).agg(*[c for n, agg in zip(names, aggs, strict=True) for c in (statistic(agg, F.col(f"__v{n}")).alias(n), F.count(F.lit(1)).alias(f"{n}n"))])
 
     def _distribution(self, reader: Reader, name: str, r: dict, m: Measure, keys: list[Column]) -> DataFrame:
         """A statistic over one value per entity and group; rows without the entity don't count."""
@@ -324,14 +368,19 @@ class Engine:
                 continue
             m = self._measure(r["id"])
             agg = r.get("agg", m.agg)
-            if agg not in ZEROED or not m.additive or m.stock is not None:
+            if agg not in ZEROED or not m.additive or m.stock is not None or m.lookup:
+                continue
+            if held := self._rollup([r], call):
+                whole = self.relation(held.table)
+                t = F.date_trunc(grain, F.col(held.period)).cast("date") if grain else None
+                marks.append((n, whole.agg(F.count(held.measures[r["id"]]).alias(f"{n}seen"), *([F.min(t).alias(f"{n}lo"), F.max(t).alias(f"{n}hi")] if grain else []))))
                 continue
             reader = Reader(self.package, self.relation, m.entity, call.get("routes"))
             value = reader.column(m.entity, m.expr)
             ends = [F.count(value).alias(f"{n}seen")]
             if grain:
                 c = self.package.clocks[(call.get("time") or {}).get("clock") or r.get("clock") or m.clock]
-                t = F.date_trunc(grain, reader.column(c.entity, c.column)).cast("date")
+                t = F.date_trunc(grain, reader.clock(c)).cast("date")
                 ends += [F.min(t).alias(f"{n}lo"), F.max(t).alias(f"{n}hi")]
             marks.append((n, reader.df.agg(*ends)))
         for n, one in marks:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..errors import SemanticError
 from ..functions.words import condition
-from .model import Measure, Package, Relationship
+from .model import Clock, Measure, Package, Relationship
 from .routes import child_route, route
 
 Relation = Callable[[str], DataFrame]
@@ -28,6 +28,8 @@ def statistic(agg: str, value: Column, clock: Column | None = None, p: float | N
         if p is None or not 0 <= p <= 1:
             raise SemanticError("UNSUPPORTED_AGGREGATION", "percentile needs p between 0 and 1")
         return F.percentile(value, F.lit(p))
+    if agg == "single_value":
+        return F.when(F.min(value) == F.max(value), F.max(value))
     if agg == "avg":  # of an exact sum, so the result doesn't depend on the order of rows
         return F.sum(value).cast("double") / F.nullif(F.count(value), F.lit(0))
     return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "median": F.median}[agg](value)
@@ -53,6 +55,28 @@ class Reader:
         self.reach(entity)
         return F.expr(_prefixed(expr, entity, self.relation(self.package.entities[entity].table).columns))
 
+    def clock(self, c: Clock) -> Column:
+        at = self.column(c.entity, c.column)
+        return F.convert_timezone(F.lit(c.stored), F.lit(c.zone), at) if c.stored and c.zone else at
+
+    def value(self, m: Measure) -> Column:
+        """What a measure reads of a row; a lookup measure joins its parents' totals, one row per parent."""
+        if m.lookup is None:
+            return self.column(m.entity, m.expr)
+        parent, name = m.lookup
+        held = f"__{parent}.{name}"
+        self.reach(parent)
+        if held not in self.df.columns:
+            key, source = self.package.entities[parent].key, self.package.measures[name]
+            inner = Reader(self.package, self.relation, source.entity, self.routes)
+            inner.reach(parent)
+            total = statistic(source.agg, inner.value(source)).alias(held)
+            per = inner.df.groupBy(*[F.col(f"{parent}${k}").alias(f"__p{i}") for i, k in enumerate(key)]).agg(total)
+            self.df = self.df.join(per, [F.col(f"{parent}${k}") == F.col(f"__p{i}") for i, k in enumerate(key)], "left").drop(*[f"__p{i}" for i in range(len(key))])
+        known = F.col(f"{parent}${self.package.entities[parent].key[0]}").isNotNull()
+        found = F.col(f"`{held}`")
+        return F.when(known, F.coalesce(found, F.lit(0))) if self.package.measures[name].agg in ("sum", "count", "count_distinct") else found
+
     def reach(self, entity: str) -> None:
         for hop in () if entity in self.joined else route(self.package, self.start, entity, self.routes):
             if hop.target in self.joined:
@@ -124,11 +148,11 @@ class Reader:
         inner.reach(entity)
         if c["over"] != "all_time":
             clock = self.package.clocks[m.clock]
-            t = inner.column(clock.entity, clock.column)
+            t = inner.clock(clock)
             start, end = c["over"]["start"], c["over"]["end"]
             inner.df = inner.df.where((t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz")))
         keys = [F.col(f"{entity}${k}") for k in key]
-        value = inner.column(m.entity, m.expr)
+        value = inner.value(m)
         per = inner.df.where(reduce(Column.__and__, [k.isNotNull() for k in keys])).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(statistic(m.agg, value).alias("__v"))
         word, limit = c["having"].get("word", "gte"), c["having"]["value"]
         if isinstance(limit, dict):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-STATISTICS = ("sum", "count", "count_distinct", "avg", "min", "max", "median", "percentile", "first_value", "last_value")
+STATISTICS = ("sum", "count", "count_distinct", "avg", "min", "max", "median", "percentile", "first_value", "last_value", "single_value")
 
 
 @dataclass(frozen=True)
@@ -35,13 +35,18 @@ class Dimension:
 
 @dataclass(frozen=True)
 class Clock:
+    """A column that dates rows; one stored in a time zone (`stored`) is read in another (`zone`)."""
+
     entity: str
     column: str
+    stored: str | None = None
+    zone: str | None = None
 
 
 @dataclass(frozen=True)
 class Measure:
-    """expr is a SQL expression on the entity's table. stock=(clock, series columns): one snapshot of each series a period counts."""
+    """expr is a SQL expression on the entity's table. stock=(clock, series columns): one snapshot of each series a period counts.
+    lookup=(parent, measure): in place of expr, the all-time total of another measure for the row's parent; such a value can't be summed."""
 
     entity: str
     expr: str
@@ -50,6 +55,19 @@ class Measure:
     clock: str | None = None
     additive: bool = True
     stock: tuple[str, ...] | None = None
+    lookup: tuple[str, str] | None = None
+
+
+@dataclass(frozen=True)
+class Rollup:
+    """A table of sums and counts: columns of measures and dimensions, and the start of each period of `grain` by a clock."""
+
+    table: str
+    measures: dict[str, str]
+    dimensions: dict[str, str] = field(default_factory=dict)
+    clock: str | None = None
+    period: str | None = None
+    grain: str | None = None
 
 
 @dataclass(frozen=True)
@@ -62,4 +80,5 @@ class Package:
     metrics: dict[str, dict] = field(default_factory=dict)
     preferences: dict[tuple[str, str], tuple[str, ...]] = field(default_factory=dict)
     denied: frozenset[str] = frozenset()
+    rollups: tuple[Rollup, ...] = ()
     max_hops: int = 4

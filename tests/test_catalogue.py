@@ -7,9 +7,12 @@ import os
 import duckdb
 import pytest
 
-from millrace.catalogue import ORACLES, QUERIES, engine
+from millrace.catalogue import DERIVED, ORACLES, QUERIES, ROLLED, engine
 from millrace.errors import SemanticError
 from millrace.functions.words import condition
+from millrace.plans.engine import Engine
+from millrace.plans.model import Dimension, Entity, Measure, Package
+from millrace.sources.relations import parquet_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +70,30 @@ def test_words_keep_or_drop_unknown(spark):
     df = spark.createDataFrame([("Ab",), ("cd",), (None,)], "x string")
     count = lambda w, v: df.where(condition(df.x, w, v)).count()
     assert [count(*a) for a in (("is", "cd"), ("not", "cd"), ("contains", "AB"), ("not_contains", "ab"), ("missing", True), ("missing", False), ("gt", "b"))] == [1, 2, 1, 2, 1, 2, 1]
+
+
+def test_sums_of_unknown_amounts_stay_unknown(spark):
+    rows = [("a", 1.0), ("b", None), ("b", None)]
+    tables = {"t": spark.createDataFrame(rows, "g string, v double")}
+    package = Package(entities={"t": Entity("t")}, dimensions={"g": Dimension("t", "g")}, measures={"v": Measure("t", "v")})
+    got = Engine(spark, package, tables).query({"select": ["v", {"as": "some", "expr": {"kind": "aggregate_if", "id": "v", "agg": "sum", "if": [{"id": "g", "value": "a"}]}}], "group_by": ["g"]})
+    assert sorted(map(tuple, got.collect())) == [("a", 1.0, 1.0), ("b", None, 0.0)]
+
+
+def test_rollup_is_read_only_where_it_holds_all(spark):
+    asked = []
+    relation = parquet_folder(spark, SF, DERIVED)
+    rolled = Engine(spark, ROLLED, lambda name: asked.append(name) or relation(name))
+    for call, held in (
+        ({"group_by": ["order.status"]}, True), ({"time": {"grain": "year"}}, True), ({"time": {"grain": "week"}}, False), ({"time": {"start": "1996-01-02"}}, False),
+        ({"group_by": ["order.priority"]}, False), ({"where": [{"id": "order.status", "value": "F"}]}, True), ({"where": [{"none": "lineitem"}]}, False),
+    ):
+        asked.clear()
+        rolled.query({"select": ["revenue"], **call})
+        assert (set(asked) == {"orders_monthly"}) == held, call
+
+
+def test_lookup_values_cannot_be_summed(spark):
+    with pytest.raises(SemanticError) as e:
+        engine(spark, SF).query({"select": [{"id": "customer_orders", "as": "x", "agg": "sum"}]})
+    assert e.value.code == "ROLLUP_UNSAFE"
