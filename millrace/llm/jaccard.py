@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import components
 from .kernels import mix, shingles
@@ -172,11 +171,13 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     while True:
         # what is left of a region: texts that no pivot has met, with the class they are in so far
         named = left.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-        open_ = staged(named.join(staged(mixed, "mixed"), "s", "left_semi").join(sketches, "node"), "open")
+        mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.count("*").alias("m")).where("lo <> hi").select("s", "first", "m")
+        open_ = staged(named.join(staged(mixed, "mixed"), "s").join(sketches, "node"), "open")
         if not open_.limit(1).count():
             break
-        ranked = open_.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("node"))).where(F.col("k") <= wide)
+        # about `wide` nodes of least hash, by a threshold from the region's size: no region is sorted, and regions that overlap agree
+        least_hash = (F.col("node") / 2.0**64 + 0.5) * F.col("m") < wide
+        ranked = open_.where(least_hash | (F.col("node") == F.col("first")))
         chosen = staged(ranked.select("s", F.col("node").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("root").alias("rp"), F.col("rare").alias("rare_p"), *(F.col(g).alias(f"{g}_p") for g in LANES)), "chosen")
         window = F.coalesce(F.abs(F.col("d") - F.col("dp")) <= radius + 1e-9, F.lit(True))
         apart = sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"{g}_p"))) for g in LANES), F.col("rare") + F.col("rare_p"))
