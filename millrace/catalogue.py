@@ -146,6 +146,10 @@ _ask("joined_parts", {"parts": [{"select": ["orders"], "group_by": ["customer.ke
      "SELECT coalesce(a.k, b.k) AS customer, a.n AS orders, b.n AS events, b.k IS NOT NULL AS has_events FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON a.k = b.k")
 _ask("lookup_with_misses", {"select": ["documents", "characters"], "group_by": ["document.lang", "label.quality"]}, {"lang": ("document.lang", S), "quality": ("label.quality", B), "documents": ("documents", B), "characters": ("characters", B)}, "SELECT lang, cast(quality AS BIGINT) AS quality, count(*) AS documents, cast(sum(n_chars) AS BIGINT) AS characters FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL")
 
+_ask("plain_child_condition", {"select": ["orders"], "group_by": ["order.status"], "where": [{"id": "lineitem.quantity", "word": "gt", "value": 49}, {"id": "order.price", "word": "gt", "value": 1000}]}, {"status": ("order.status", S), "orders": ("orders", B)},
+     "SELECT o_orderstatus AS status, count(*) AS orders FROM orders WHERE EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49) AND o_totalprice > 1000 GROUP BY 1")
+QUERIES["withheld_ranking"] = lambda spark, sf_dir: _shaped(Engine(spark, replace(PACKAGE, withheld={"revenue": 10}), parquet_folder(spark, sf_dir, DERIVED)).query({"select": ["revenue", "orders"], "group_by": ["customer.key"], "order_by": [{"id": "revenue", "desc": True}], "limit": 10}), {"customer": ("customer.key", B), "orders": ("orders", B)})
+ORACLES["withheld_ranking"] = f"SELECT o_custkey AS customer, count(*) AS orders FROM orders GROUP BY 1 ORDER BY {REV} DESC, 1 LIMIT 10"
 _ask("single_value", {"select": [{"id": "customers", "as": "customer", "agg": "single_value"}], "group_by": ["order.price"]}, {"price": ("order.price", N), "customer": ("customer", B)},
      f"SELECT {R('o_totalprice')} AS price, CASE WHEN min(o_custkey) = max(o_custkey) THEN max(o_custkey) END AS customer FROM orders GROUP BY o_totalprice")
 _ask("parent_lookup", {"select": [{"id": "customer_orders", "as": "most"}, {"id": "customer_orders", "as": "mean", "agg": "avg"}], "group_by": ["event.type"]}, {"type": ("event.type", S), "most": ("most", B), "mean": ("mean", N)},

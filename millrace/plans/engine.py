@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,8 @@ class Engine:
         aliases = [a for a, _ in items]
         if len(set(aliases + call.get("group_by", []))) < len(aliases) + len(call.get("group_by", [])):
             raise SemanticError("DUPLICATE_OUTPUT_ALIAS", "two columns have one name")
+        if secret := self._secret(call, items):
+            return self.__class__(self.spark, replace(self.package, withheld={}), self.relation).query(call).drop(*secret)
         if not items:
             return self._ordered(self._listing(call), call, [])
         df = self._level(call, items)
@@ -58,6 +61,23 @@ class Engine:
             df = df.where(condition(F.col(f"`{c['id']}`"), c.get("word", "is"), c["value"]))
         return self._ordered(df, call, aliases)
 
+    def _secret(self, call: dict, items: list[tuple[str, dict]]) -> list[str]:
+        """Columns whose values are withheld. They may only rank, and only so many groups as the package allows."""
+        found: dict[str, set] = {}
+        for (alias, e), x in zip(items, call.get("select", []), strict=True):
+            names = {x if isinstance(x, str) else x.get("id")}
+            for n in _walk(e, self):
+                names |= {n.get("id"), *(n[k].get("id") for k in ("base", "converted") if k in n)}
+            if held := names & set(self.package.withheld):
+                found[alias] = held
+        if not found:
+            return []
+        order = [o if isinstance(o, str) else o["id"] for o in call.get("order_by", [])]
+        most = min(self.package.withheld[n] for held in found.values() for n in held)
+        if order[:1] != list(found) or not 0 < (call.get("limit") or 0) <= most or call.get("totals") or any(c["id"] in found for c in call.get("having", [])):
+            raise SemanticError("POLICY_DENIED", f"{list(found)} may only rank up to {most} groups")
+        return list(found)
+
     def _item(self, x: str | dict) -> tuple[str, dict]:
         if isinstance(x, str):
             return x, self._named(x)
@@ -335,6 +355,8 @@ class Engine:
         return per.groupBy(*[F.col(f"`{c}`") for c in by]).agg(statistic(r["agg"], F.col("__v"), p=r.get("p")).alias(name), F.count("__v").alias(f"{name}n"))
 
     def _measure(self, name: str) -> Measure:
+        if name in self.package.denied:
+            raise SemanticError("POLICY_DENIED", f"{name} isn't open")
         if name not in self.package.measures:
             raise SemanticError("OBJECT_NOT_FOUND", f"no measure {name}")
         return self.package.measures[name]

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..errors import SemanticError
 from ..functions.words import condition
 from .model import Clock, Measure, Package, Relationship
-from .routes import child_route, route
+from .routes import child_route, lookups, route
 
 Relation = Callable[[str], DataFrame]
 
@@ -105,14 +105,35 @@ class Reader:
         return F.when(~value.isin(*d.unknown), value) if d.unknown else value
 
     def where(self, conditions: list[dict]) -> None:
-        """Lookup conditions filter; those on child entities keep parents by semi or anti join."""
+        """Lookup conditions filter; those on child entities keep parents by semi or anti join. A single plain condition on a child asks
+        for any child that meets it; of several, or a negated one, it isn't said whether one child must meet them."""
+        child = {c["id"]: self._child_of(c["id"]) for c in conditions if "id" in c}
+        plain = [c for c in conditions if child.get(c.get("id"))]
+        if len(plain) > 1 or any(c.get("word", "is").startswith(("not", "missing")) for c in plain):
+            raise SemanticError("AMBIGUOUS_CHILD_SCOPE", "state any or none for conditions on children", options=[{w: child[c["id"]], "where": [c]} for w in ("any", "none") for c in plain])
         for c in conditions:
             if "any" in c or "none" in c or "having" in c:
                 self.entity_filter(c)
+            elif child[c["id"]]:
+                self.entity_filter({"any": child[c["id"]], "where": [c]})
             else:
                 test = condition(self.dimension(c["id"]), c.get("word", "is"), c["value"])  # may join first
                 self.df = self.df.where(test)
 
+    def _child_of(self, dimension: str) -> str | None:
+        """The child entity that a dimension is read from; none where the row itself can look it up."""
+        d = self.package.dimensions.get(dimension)
+        if d is None or d.entity in self.joined or lookups(self.package, self.start, d.entity):
+            return None
+        try:
+            child_route(self.package, self.start, d.entity, self.routes)
+            return d.entity
+        except SemanticError as e:
+            if e.code != "PATH_NOT_FOUND":
+                raise
+        found = [r.source for r in self.package.relationships if r.target == self.start and lookups(self.package, r.source, d.entity)]
+        return found[0] if len(found) == 1 else None
+
     def entity_filter(self, c: dict) -> None:
         """{"any"/"none": child, "where": [...]}: some or no child row meets all conditions together."""
         if "having" in c:
@@ -143,6 +164,8 @@ class Reader:
 
     def _threshold(self, c: dict, entity: str, key: tuple[str, ...]) -> tuple[DataFrame, str]:
         """Entities whose statistic meets a threshold. One that 0 meets also takes entities without rows: all but the failing ones."""
+        if c["having"]["id"] in self.package.denied or c["having"]["id"] in self.package.withheld:
+            raise SemanticError("POLICY_DENIED", f"{c['having']['id']} isn't open")
         m = self.package.measures[c["having"]["id"]]
         inner = Reader(self.package, self.relation, m.entity, self.routes)
         inner.reach(entity)

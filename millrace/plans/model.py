@@ -81,4 +81,6 @@ class Package:
     preferences: dict[tuple[str, str], tuple[str, ...]] = field(default_factory=dict)
     denied: frozenset[str] = frozenset()
     rollups: tuple[Rollup, ...] = ()
+    #: Measures and metrics that may rank groups but aren't shown: name -> how many groups at most.
+    withheld: dict[str, int] = field(default_factory=dict)
     max_hops: int = 4

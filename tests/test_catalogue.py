@@ -3,11 +3,12 @@
 import datetime
 import decimal
 import os
+from dataclasses import replace
 
 import duckdb
 import pytest
 
-from millrace.catalogue import DERIVED, ORACLES, QUERIES, ROLLED, engine
+from millrace.catalogue import DERIVED, ORACLES, PACKAGE, QUERIES, ROLLED, engine
 from millrace.errors import SemanticError
 from millrace.functions.words import condition
 from millrace.plans.engine import Engine
@@ -97,3 +98,27 @@ def test_lookup_values_cannot_be_summed(spark):
     with pytest.raises(SemanticError) as e:
         engine(spark, SF).query({"select": [{"id": "customer_orders", "as": "x", "agg": "sum"}]})
     assert e.value.code == "ROLLUP_UNSAFE"
+
+
+@pytest.mark.parametrize(
+    "call",
+    [
+        {"select": ["revenue"]},
+        {"select": ["aov"], "group_by": ["customer.key"], "order_by": ["aov"], "limit": 11},
+        {"select": ["revenue", "orders"], "group_by": ["customer.key"], "order_by": ["orders"], "limit": 5},
+        {"select": ["orders"], "where": [{"entity": "customer", "having": {"id": "revenue", "value": 1}, "over": "all_time"}]},
+        {"select": [{"as": "x", "expr": {"kind": "measure", "id": "quantity"}}]},
+    ],
+)
+def test_withheld_and_denied(spark, call):
+    package = replace(PACKAGE, withheld={"revenue": 10}, denied=frozenset({"quantity"}))
+    with pytest.raises(SemanticError) as e:
+        Engine(spark, package, parquet_folder(spark, SF, DERIVED)).query(call)
+    assert e.value.code == "POLICY_DENIED"
+
+
+@pytest.mark.parametrize("where", [[{"id": "lineitem.flag", "value": "R"}, {"id": "lineitem.quantity", "word": "gt", "value": 9}], [{"id": "lineitem.flag", "word": "not", "value": "R"}]])
+def test_conditions_on_children_must_say_any_or_none(spark, where):
+    with pytest.raises(SemanticError) as e:
+        engine(spark, SF).query({"select": ["orders"], "where": where})
+    assert e.value.code == "AMBIGUOUS_CHILD_SCOPE"
