@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .kernels import mix
 from .roundtrip import NULL_ID, Doc, _squeeze, _unsqueeze, unit_of, units, unpack
-from .shared import staged
+from .shared import drop_staged, release, staged
 
 ORDER = 5
 U8 = np.dtype(np.uint64)
@@ -68,7 +68,10 @@ def _model(totals: DataFrame) -> DataFrame:
         else:
             got = got.withColumn("s", mask(F.col("g"), k - 1)).join(below.select(F.col("g").alias("s"), F.col("p").alias("lower")), "s")
             got = got.select("g", (top + share * F.col("lower")).alias("p"))
+        used = [count, *([asked] if k < ORDER else []), *([below] if below is not None else [])]
         below = staged(got, f"p{k}")
+        for old in used:  # nothing reads these again
+            drop_staged(old)
     return below.select("g", F.log("p").alias("logp"))
 
 
@@ -135,7 +138,9 @@ def score(documents: DataFrame, trusted: DataFrame, lang_col: str = "lang", id_c
 
     sent = unit_rows.groupBy("unit").cogroup(good_rows.groupBy("unit")).applyInArrow(forward, "rng int, unit int, keys binary, loads binary").repartition(1 << bits, "rng")
     totals = staged(sent.groupBy("rng").applyInArrow(add, "rng int, g long, n long"), "totals")
+    release(documents.sparkSession)
     model = _model(totals.select("g", "n")).join(totals.select("g", "rng"), "g")
+    release(documents.sparkSession)
     back = sent.groupBy("rng").cogroup(model.select("rng", "g", "logp").repartition(1 << bits, "rng").groupBy("rng")).applyInArrow(reply, "unit int, rng int, reply binary")
     both = back.withColumn("id", F.lit(None).cast("long")).unionByName(good_rows.select("unit", "id"), allowMissingColumns=True)
     return unit_rows.groupBy("unit").cogroup(both.repartition(n, "unit").groupBy("unit")).applyInArrow(total, "doc_id long, lang string, trusted boolean, n long, perplexity double")
