@@ -15,6 +15,7 @@ from .sources.relations import parquet_folder
 MONEY = "decimal(18,2)"
 
 DERIVED = {
+    "order_loads": lambda rel: rel("region").where("r_regionkey = 0").select(F.lit("1996-08-10").cast("date").alias("through_day")),
     "orders_null": lambda rel: rel("orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END").alias("o_custkey"), "o_orderpriority", "o_totalprice"),
     "user_days": lambda rel: rel("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events")).select(F.col("user_id"), F.col("day").cast("timestamp_ntz").alias("day"), "n_events"),
     "orders_monthly": lambda rel: rel("orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), "o_orderstatus").agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("revenue"), F.count("o_orderkey").alias("orders")),
@@ -37,7 +38,7 @@ PACKAGE = Package(
     dimensions={
         "region.name": Dimension("region", "r_name"), "nation.name": Dimension("nation", "n_name"), "customer.segment": Dimension("customer", "c_mktsegment"), "customer.key": Dimension("customer", "c_custkey"), "customer.name": Dimension("customer", "c_name"),
         "part.brand": Dimension("part", "p_brand"), "order.status": Dimension("order", "o_orderstatus"), "order.priority": Dimension("order", "o_orderpriority"), "order.price": Dimension("order", "o_totalprice"),
-        "lineitem.flag": Dimension("lineitem", "l_returnflag"), "lineitem.quantity": Dimension("lineitem", "l_quantity"), "event.type": Dimension("event", "event_type"), "event.user": Dimension("event", "user_id"),
+        "lineitem.flag": Dimension("lineitem", "l_returnflag"), "lineitem.quantity": Dimension("lineitem", "l_quantity"), "event.type": Dimension("event", "event_type"), "event.user": Dimension("event", "user_id"), "event.day": Dimension("event", "dayofmonth(ts)"),
         "order_null.priority": Dimension("order_null", "o_orderpriority", ("4-NOT SPECIFIED",)), "history.segment": Dimension("history", "segment"), "document.lang": Dimension("document", "lang"), "label.quality": Dimension("label", "quality"),
     },
     clocks={"order.date": Clock("order", "o_orderdate"), "lineitem.ship": Clock("lineitem", "l_shipdate"), "event.ts": Clock("event", "ts"), "user_day.day": Clock("user_day", "day"), "event.local": Clock("event", "ts", "UTC", "Asia/Kolkata")},
@@ -48,6 +49,7 @@ PACKAGE = Package(
         "customer_orders": Measure("event", "", "max", lookup=("customer", "orders"), clock="event.ts"), "documents": Measure("document", "doc_id", "count"), "characters": Measure("document", "n_chars"),
     },
     metrics={
+        "aov_text": "revenue / orders",
         "aov": {"kind": "ratio", "numerator": {"kind": "measure", "id": "revenue"}, "denominator": {"kind": "measure", "id": "orders"}},
         "urgent_share": {"kind": "ratio", "numerator": {"kind": "aggregate_if", "id": "orders", "agg": "count", "if": [{"id": "order.priority", "value": "1-URGENT"}]}, "denominator": {"kind": "measure", "id": "orders"}},
     },
@@ -136,7 +138,7 @@ _ask("totals_rows", {"select": ["customers"], "group_by": ["region.name", "order
      f"SELECT r_name AS region, o_orderstatus AS status, count(DISTINCT o_custkey) AS customers FROM {OCN} JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, o_orderstatus)")
 _ask("distribution", {"select": [{"as": "median", "expr": {"kind": "distribution", "agg": "median", "entity": "customer", "input": M("revenue")}}, {"as": "p80", "expr": {"kind": "distribution", "agg": "percentile", "p": 0.8, "entity": "customer", "input": M("revenue")}}], "group_by": ["customer.segment"]}, {"segment": ("customer.segment", S), "median": ("median", N), "p80": ("p80", N)},
      f"SELECT segment, {R('median(v)')} AS median, {R('quantile_cont(v, 0.8)')} AS p80 FROM (SELECT c_mktsegment AS segment, c_custkey, cast({REV} as double) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) GROUP BY 1")
-_ask("conversion", {"select": [{"as": "rate", "expr": {"kind": "conversion", "base": {"id": "events", "where": [{"id": "event.type", "value": "view"}]}, "converted": {"id": "events", "where": [{"id": "event.type", "value": "purchase"}]}, "entity": "event.user", "window": {"unit": "day", "value": 2}}}], "group_by": ["customer.segment"]}, {"segment": ("customer.segment", S), "rate": ("rate", N)},
+_ask("conversion", {"select": [{"as": "rate", "expr": {"kind": "conversion", "base": {"id": "events", "where": [{"id": "event.type", "value": "view"}]}, "converted": {"id": "events", "where": [{"id": "event.type", "value": "purchase"}]}, "entity": "event.user", "matching_mode": "first_converted_after_base", "window": {"unit": "day", "value": 2}}}], "group_by": ["customer.segment"]}, {"segment": ("customer.segment", S), "rate": ("rate", N)},
      f"SELECT c_mktsegment AS segment, {R('avg(CASE WHEN EXISTS (FROM events p WHERE p.event_type = ' + chr(39) + 'purchase' + chr(39) + ' AND p.user_id = v.user_id AND p.ts >= v.ts AND p.ts < v.ts + INTERVAL 2 DAY) THEN 1.0 ELSE 0.0 END)')} AS rate FROM events v JOIN customer ON v.user_id = c_custkey WHERE v.event_type = 'view' GROUP BY 1")
 _ask("stock_closing_day", {"select": ["active"], "time": {"grain": "week", "start": "2024-01-01", "end": "2024-01-29"}, "group_by": ["customer.segment"]}, {"period": ("period", D), "segment": ("customer.segment", S), "active": ("active", B)},
      "WITH u AS (SELECT user_id, cast(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= '2024-01-01' AND ts < '2024-01-29' GROUP BY ALL), w AS (SELECT *, cast(date_trunc('week', day) AS DATE) AS period FROM u), e AS (SELECT period, max(day) AS day FROM w GROUP BY 1), f AS (SELECT w.period, c_mktsegment AS segment, sum(n) AS active FROM w JOIN e USING (period, day) JOIN customer ON user_id = c_custkey GROUP BY ALL) SELECT p.period, g.segment, cast(f.active AS BIGINT) AS active FROM (SELECT DISTINCT period FROM w) p CROSS JOIN (SELECT DISTINCT segment FROM f) g LEFT JOIN f ON f.period = p.period AND f.segment = g.segment")
@@ -162,6 +164,31 @@ QUERIES["valid_values"] = lambda spark, sf_dir: engine(spark, sf_dir).values("pa
 ORACLES["valid_values"] = "SELECT DISTINCT p_brand AS brand FROM part WHERE contains(lower(p_brand), 'brand') ORDER BY 1 LIMIT 10 OFFSET 5"
 
 
+_ev = lambda kind: {"id": "events", "where": [{"id": "event.type", "value": kind}]}
+_conv = {"kind": "conversion", "base": _ev("view"), "converted": _ev("purchase"), "entity": "event.user", "matching_mode": "closest_converted_after_base", "window": {"unit": "day", "value": 3}}
+_VP = "events v JOIN events p ON p.event_type = 'purchase' AND p.user_id = v.user_id AND p.ts >= v.ts AND p.ts < v.ts + INTERVAL 3 DAY"
+_ask("conversion_by_converted", {"select": [{"as": "rate", "expr": {**_conv, "dimension_bindings": {"event.day": "converted"}}}], "group_by": ["customer.segment", "event.day"]}, {"segment": ("customer.segment", S), "day": ("event.day", B), "rate": ("rate", N)},
+     f"WITH m AS (SELECT v.event_id, v.user_id, p.ts, rank() OVER (PARTITION BY v.event_id ORDER BY p.ts) AS r FROM {_VP} WHERE v.event_type = 'view'), n AS (SELECT c_mktsegment AS segment, dayofmonth(ts) AS day, count(DISTINCT event_id) AS n FROM m LEFT JOIN customer ON user_id = c_custkey WHERE r = 1 GROUP BY ALL), d AS (SELECT c_mktsegment AS segment, count(*) AS d FROM events LEFT JOIN customer ON user_id = c_custkey WHERE event_type = 'view' GROUP BY ALL) SELECT n.segment, day, {R('n::double / d')} AS rate FROM n JOIN d ON n.segment IS NOT DISTINCT FROM d.segment")
+_ask("conversion_constant_property", {"select": [{"as": "rate", "expr": {**_conv, "constant_properties": ["event.day"]}}]}, {"rate": ("rate", N)},
+     f"SELECT {R('(SELECT count(DISTINCT v.event_id) FROM ' + _VP + ' AND dayofmonth(p.ts) = dayofmonth(v.ts) WHERE v.event_type = ' + chr(39) + 'view' + chr(39) + ')::double / count(*)')} AS rate FROM events WHERE event_type = 'view'")
+_ask("child_values", {"select": ["events"], "group_by": ["order.status"]}, {"status": ("order.status", S), "events": ("events", B)},
+     "SELECT status, count(*) AS events FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN (SELECT DISTINCT o_custkey, o_orderstatus AS status FROM orders) ON o_custkey = c_custkey GROUP BY 1")
+FORWARD = replace(PACKAGE, relationships=tuple(replace(r, forward=(r.source, r.target) == ("order", "customer")) for r in PACKAGE.relationships), measures=PACKAGE.measures | {"people": Measure("customer", "c_custkey", "count"), "balance": Measure("customer", f"cast(c_acctbal as {MONEY})")})
+QUERIES["parent_value"] = lambda spark, sf_dir: _shaped(Engine(spark, FORWARD, parquet_folder(spark, sf_dir, DERIVED)).query({"select": ["people", "balance"], "group_by": ["order.priority"]}), {"priority": ("order.priority", S), "people": ("people", B), "balance": ("balance", N)})
+ORACLES["parent_value"] = f"SELECT priority, count(c_custkey) AS people, {R('sum(cast(c_acctbal as decimal(18,2)))')} AS balance FROM (SELECT DISTINCT o_orderpriority AS priority, c_custkey, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey) GROUP BY 1"
+_ask("same_child_groups", {"select": ["orders"], "group_by": ["lineitem.flag", "lineitem.quantity"]}, {"flag": ("lineitem.flag", S), "quantity": ("lineitem.quantity", N), "orders": ("orders", B)},
+     f"SELECT l_returnflag AS flag, {R('l_quantity')} AS quantity, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, l_quantity")
+_ask("threshold_by_period", {"select": ["revenue"], "group_by": ["order.status"], "time": {"grain": "year"}, "where": [{"entity": "customer", "having": {"id": "orders", "value": 3}, "over": "period"}]}, {"period": ("period", D), "status": ("order.status", S), "revenue": ("revenue", N)},
+     f"WITH y AS (SELECT *, cast(date_trunc('year', o_orderdate) AS DATE) AS period FROM orders) SELECT period, o_orderstatus AS status, {R(REV)} AS revenue FROM y WHERE (o_custkey, period) IN (SELECT (o_custkey, period) FROM y GROUP BY o_custkey, period HAVING count(*) >= 3) GROUP BY 1, 2")
+_ask("threshold_rolling_in_context", {"select": ["orders"], "time": {"grain": "month"}, "where": [{"entity": "customer", "having": {"id": "orders", "value": 2}, "over": "period", "rolling": 3, "context": ["order.status"]}]}, {"period": ("period", D), "orders": ("orders", B)},
+     "WITH m AS (SELECT *, cast(date_trunc('month', o_orderdate) AS DATE) AS period FROM orders) SELECT period, count(*) AS orders FROM m WHERE (SELECT count(*) FROM m x WHERE x.o_custkey = m.o_custkey AND x.o_orderstatus = m.o_orderstatus AND x.period <= m.period AND x.period > m.period - INTERVAL 3 MONTH) >= 2 GROUP BY 1")
+LOADED = replace(PACKAGE, entities=PACKAGE.entities | {"order": replace(PACKAGE.entities["order"], zero_through=("loaded", "order_loads", "through_day"))})
+QUERIES["loaded_edge"] = lambda spark, sf_dir: _shaped(Engine(spark, LOADED, parquet_folder(spark, sf_dir, DERIVED)).query({"select": ["orders"], "time": {"grain": "month", "start": "1996-01-01", "end": "1997-01-01"}, "where": [{"id": "order.price", "word": "gt", "value": 499000}]}), {"period": ("period", D), "orders": ("orders", B)})
+ORACLES["loaded_edge"] = f"WITH f AS (SELECT {MON} AS period, count(*) AS n FROM orders WHERE o_totalprice > 499000 AND o_orderdate >= '1996-01-01' AND o_orderdate < '1996-08-11' GROUP BY 1) SELECT s.period, CASE WHEN s.period < DATE '1996-08-01' OR n IS NOT NULL THEN coalesce(n, 0) END AS orders FROM (SELECT cast(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-01', INTERVAL 1 MONTH)) AS DATE) AS period) s LEFT JOIN f USING (period)"
+_ask("expression_kinds", {"select": [{"as": "x", "expr": {"kind": "case", "args": [{"kind": "boolean", "op": "or", "args": [{"kind": "between", "args": [M("orders"), {"kind": "literal", "value": 1}, {"kind": "literal", "value": 5}]}, {"kind": "in", "args": [M("orders"), [10, 11]]}]}, {"kind": "metric", "id": "aov_text"}, {"kind": "nullif", "args": [M("orders"), {"kind": "literal", "value": 7}]}]}}, {"as": "urgent", "expr": {"kind": "scoped_aggregate", "id": "orders", "where": [{"id": "order.priority", "value": "1-URGENT"}]}}], "group_by": ["customer.key"]},
+     {"customer": ("customer.key", B), "x": ("x", N), "urgent": ("urgent", B)}, f"SELECT o_custkey AS customer, {R('CASE WHEN count(*) BETWEEN 1 AND 5 OR count(*) IN (10, 11) THEN ' + REV + '::double / count(*) ELSE nullif(count(*), 7) END')} AS x, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1")
+
+
 def _pipe(name: str, steps: list[dict], shape: dict[str, tuple[str, str]], sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: _shaped(run_pipeline(spark, parquet_folder(spark, sf_dir, DERIVED), steps), shape)
     ORACLES[name] = sql

@@ -36,6 +36,22 @@ def condition(column: Column, word: str, value) -> Column:
         if len(many) != 1:
             raise SemanticError("INVALID_QUERY", f"{word} takes one value")
         return RANGES[word](column, F.lit(many[0]))
+    if unstable := [v for v in many if (s := str(v)).lower() != s.upper().lower() or len(s.lower()) != len(s)]:
+        raise SemanticError("INVALID_QUERY", f"{unstable}: letters whose case isn't stable")
     text, positive = F.lower(column.cast("string")), word.removeprefix("not_")
     found = reduce(Column.__or__, [TEXT[positive](text, str(v).lower()) for v in many])
     return ~found | column.isNull() if word.startswith("not_") else found
+
+
+def check_strings(value, path: str = "call") -> None:
+    """NUL and lone surrogates aren't text."""
+    if isinstance(value, str):
+        if any(c == "\0" or "\ud800" <= c <= "\udfff" for c in value):
+            raise SemanticError("INVALID_QUERY", f"{path} isn't text")
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            check_strings(k, path)
+            check_strings(v, f"{path}.{k!r}")
+    elif isinstance(value, (list, tuple)):
+        for i, v in enumerate(value):
+            check_strings(v, f"{path}[{i}]")

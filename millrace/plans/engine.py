@@ -18,9 +18,11 @@ from pyspark.sql.window import Window
 
 from ..errors import SemanticError
 from ..functions.scalars import call as scalar_call
-from ..functions.scalars import divide
-from ..functions.words import condition
+from ..functions.infix import parse as infix
+from ..functions.scalars import date_add, divide
+from ..functions.words import check_strings, condition
 from . import clock as clocks
+from .governance import check_constraints, check_names, ids_of
 from .leaf import Reader, Relation, snapshot, statistic
 from .model import Measure, Package, Rollup
 from .routes import child_route, lookups
@@ -34,22 +36,31 @@ class Engine:
     def __init__(self, spark: SparkSession, package: Package, relation: Relation | Mapping[str, DataFrame]):
         self.spark, self.package = spark, package
         self.relation: Relation = relation if callable(relation) else relation.__getitem__
+        self.notes: list[dict] = []
 
     # -- the call -----------------------------------------------------------------------------------------------------------------------
 
     def query(self, call: dict) -> DataFrame:
+        check_strings(call)
         if "parts" in call:
             return self._joined(call)
         if unknown := set(call) - KEYS:
             raise SemanticError("INVALID_QUERY", f"unknown keys {sorted(unknown)}", allowed=sorted(KEYS))
+        check_names(self.package, call.get("select", []))
         items = [self._item(x) for x in call.get("select", [])]
         aliases = [a for a, _ in items]
+        if self.package.constraints:
+            read = {i for _, e in items for i in ids_of(e)} | {x if isinstance(x, str) else x.get("id") for x in call.get("select", [])}
+            while more := {i for n in read & set(self.package.metrics) for i in ids_of(self._named(n))} - read:
+                read |= more
+            check_constraints(self.package, call, read)
         if len(set(aliases + call.get("group_by", []))) < len(aliases) + len(call.get("group_by", [])):
             raise SemanticError("DUPLICATE_OUTPUT_ALIAS", "two columns have one name")
         if secret := self._secret(call, items):
             return self.__class__(self.spark, replace(self.package, withheld={}), self.relation).query(call).drop(*secret)
         if not items:
             return self._ordered(self._listing(call), call, [])
+        call = self._keyed(call)
         df = self._level(call, items)
         for k in range(len(call.get("group_by", [])) - 1, -1, -1) if call.get("totals") else ():
             dropped = call["group_by"][k:]
@@ -61,6 +72,14 @@ class Engine:
             df = df.where(condition(F.col(f"`{c['id']}`"), c.get("word", "is"), c["value"]))
         return self._ordered(df, call, aliases)
 
+    def _keyed(self, call: dict) -> dict:
+        """Names with a key are grouped by the key too, so that namesakes stay apart."""
+        key = {g: k for g in call.get("group_by", []) if (k := getattr(self.package.dimensions.get(g), "key", None)) and k not in call["group_by"]}
+        if not key:
+            return call
+        wider = lambda ids: list(dict.fromkeys(x for g in ids for x in ((g, key[g]) if g in key else (g,))))
+        return {**call, "group_by": wider(call["group_by"]), **({"totals": wider(call["totals"])} if call.get("totals") else {})}
+
     def _secret(self, call: dict, items: list[tuple[str, dict]]) -> list[str]:
         """Columns whose values are withheld. They may only rank, and only so many groups as the package allows."""
         found: dict[str, set] = {}
@@ -89,7 +108,8 @@ class Engine:
         if name in self.package.measures:
             return {"kind": "measure", "id": name}
         if name in self.package.metrics:
-            return self.package.metrics[name]
+            e = self.package.metrics[name]
+            return infix(e, self._named) if isinstance(e, str) else e
         raise SemanticError("OBJECT_NOT_FOUND", f"no measure or metric {name}")
 
     def _ordered(self, df: DataFrame, call: dict, aliases: list[str]) -> DataFrame:
@@ -164,6 +184,8 @@ class Engine:
             name = next((n for n, r in reads.items() if r["key"] == key), None) or f"__m{len(reads)}"
             reads[name] = {**e, "key": key}
             return {"kind": "column", "name": name}
+        if kind == "scoped_aggregate":  # a measure with its own conditions, also on entities
+            return self._lift({**e, "kind": "measure"}, reads)
         if kind == "metric":
             return self._lift(self._named(e["id"]), reads)
         if kind in ("ratio", "share", *WINDOWED) or "args" in e:
@@ -188,7 +210,7 @@ class Engine:
         if e["kind"] == "aggregate_if":
             return e["agg"] in ("sum", "count")
         m = self.package.measures.get(e.get("id", ""))
-        return e["kind"] == "measure" and m is not None and m.additive and not m.stock and e.get("agg", m.agg) in ("sum", "count")
+        return e["kind"] in ("measure", "scoped_aggregate") and m is not None and m.additive and not m.stock and e.get("agg", m.agg) in ("sum", "count")
 
     def _folded(self, reads: dict) -> list[tuple[list[str], list[dict]]]:
         """Plain reads of one entity, clock and filter share a scan; others stand alone."""
@@ -214,10 +236,13 @@ class Engine:
         source = r["input"] if r["kind"] == "distribution" else r
         if found := self._rollup(specs, call):
             return self._rolled(found, names, specs, call)
+        if r["kind"] != "distribution" and (crossed := self._crossed(names, specs, m, call)) is not None:
+            return crossed
         clock_name = time.get("clock") or source.get("clock") or m.clock
         at = None
         reader = Reader(self.package, self.relation, m.entity, call.get("routes"))
-        if clock_name and (time or m.stock or any(x.get("agg", m.agg) in ("first_value", "last_value") for x in specs) or any(h.valid for h in self.package.relationships)):
+        capped = self.package.edge_of(m.entity) != "data"
+        if clock_name and (time or m.stock or capped or any(x.get("agg", m.agg) in ("first_value", "last_value") for x in specs) or any(h.valid for h in self.package.relationships)):
             if clock_name not in self.package.clocks:
                 raise SemanticError("INVALID_TEMPORAL_ROLE", f"no clock {clock_name}")
             c = self.package.clocks[clock_name]
@@ -227,6 +252,10 @@ class Engine:
             reader.at = at if time else None  # a history is entered at the query's time only
         elif time:
             raise SemanticError("MIXED_TIME_ROLES", f"{r.get('id')} has no clock")
+        if at and time.get("grain"):
+            reader.period = time["grain"], F.date_trunc(time["grain"], F.col(at)).cast("date")
+        if at and capped:
+            reader.df = self._capped(reader.df, F.col(at), m.entity, call)
         reader.where([*call.get("where", []), *source.get("where", [])])
         start, end, _ = clocks.window(time) if time else (None, None, False)
         if start:
@@ -246,6 +275,25 @@ class Engine:
         got = [c for n, x in zip(names, specs, strict=True) for c in self._statistics(reader, n, x, m if x is r else self._measure(x["id"]), at)]
         return reader.df.groupBy(*keys).agg(*got)
 
+    def _edge(self, entity: str, call: dict) -> DataFrame:
+        """One row: the instant up to which the entity's table is loaded (__edge), as declared."""
+        declared, now = self.package.edge_of(entity), (call.get("time") or {}).get("now")
+        stop = F.lit(now).cast("timestamp_ntz")
+        if declared == "now":
+            if now is None:
+                raise SemanticError("INVALID_QUERY", "a table loaded up to now needs now")
+            return self.spark.range(1).select((stop + F.expr("interval 1 microsecond")).alias("__edge"))
+        _, table, column = declared
+        log = self.relation(table)
+        through = F.max(column)
+        if dict(log.dtypes)[column] == "date":  # complete through the end of that day
+            through = F.date_add(through, 1)
+        through = through.cast("timestamp_ntz")
+        return log.agg((F.least(through, stop) if now else through).alias("__edge"))
+
+    def _capped(self, df: DataFrame, at: Column, entity: str, call: dict) -> DataFrame:
+        return df.crossJoin(F.broadcast(self._edge(entity, call))).where(at < F.col("__edge")).drop("__edge")  # one row
+
     def _rollup(self, specs: list[dict], call: dict) -> Rollup | None:
         """A rollup that holds all that a leaf reads: its measures as they are, its dimensions, and whole periods of its clock."""
         if any(e.row_filter for e in self.package.entities.values()) or call.get("routes"):
@@ -259,6 +307,8 @@ class Engine:
             if any(x["kind"] != "measure" or x["id"] not in held.measures for x in specs):
                 continue
             measures = [self.package.measures[x["id"]] for x in specs]
+            if any(self.package.edge_of(m.entity) != "data" for m in measures):
+                continue
             if any(x.get("agg", m.agg) != m.agg or m.agg not in ("sum", "count") or not m.additive or m.stock is not None or m.lookup for x, m in zip(specs, measures, strict=True)):
                 continue
             clocked = {time.get("clock") or x.get("clock") or m.clock for x, m in zip(specs, measures, strict=True)} == {held.clock}
@@ -300,25 +350,87 @@ class Engine:
     def _group_columns(self, reader: Reader, groups: list[str], m: Measure) -> tuple[dict[str, Column], bool]:
         """Lookups where possible; a group on a child entity makes the leaf fan out, which only keyed rows allow."""
         cols: dict[str, Column] = {}
-        fan = False
+        below: dict[tuple, list[str]] = {}  # groups of one child are the values that one of its rows holds together
         for g in groups:
             try:
                 cols[g] = reader.dimension(g)
             except SemanticError as e:
                 if e.code != "PATH_NOT_FOUND":
                     raise
-                d = self.package.dimensions[g]
-                hops = self._child(m.entity, d.entity, reader.routes)
-                if not self.package.entities[m.entity].key or m.stock is not None:
-                    raise SemanticError("MIXED_GRAIN_INVALID", f"{g} would multiply rows of {m.entity}") from None
-                child = Reader(self.package, self.relation, hops[0].source, reader.routes)
-                value = child.dimension(g)
-                for hop in hops[:-1]:
-                    child.reach(hop.target)
-                pairs = child.df.select(*[F.col(f"{hops[-1].source}${a}").alias(f"__c{i}") for i, (a, _) in enumerate(hops[-1].on)], value.alias(f"__{g}")).distinct()
-                reader.df = reader.df.join(pairs, [F.col(f"{m.entity}${b}") == F.col(f"__c{i}") for i, (_, b) in enumerate(hops[-1].on)]).drop(*[f"__c{i}" for i in range(len(hops[-1].on))])
-                cols[g], fan = F.col(f"`__{g}`"), True
-        return cols, fan
+                below.setdefault(self._child(m.entity, self.package.dimensions[g].entity, reader.routes), []).append(g)
+        for hops, held in below.items():
+            if not self.package.entities[m.entity].key or m.stock is not None:
+                raise SemanticError("MIXED_GRAIN_INVALID", f"{held} would multiply rows of {m.entity}")
+            child = Reader(self.package, self.relation, hops[0].source, reader.routes)
+            values = [child.dimension(g).alias(f"__{g}") for g in held]
+            for hop in hops[:-1]:
+                child.reach(hop.target)
+            pairs = child.df.select(*[F.col(f"{hops[-1].source}${a}").alias(f"__c{i}") for i, (a, _) in enumerate(hops[-1].on)], *values).distinct()
+            reader.df = reader.df.join(pairs, [F.col(f"{m.entity}${b}") == F.col(f"__c{i}") for i, (_, b) in enumerate(hops[-1].on)]).drop(*[f"__c{i}" for i in range(len(hops[-1].on))])
+            cols |= {g: F.col(f"`__{g}`") for g in held}
+            self._note("REWRITE_APPLIED", rewrite="fanout_dedup", overlapping_groups=held, path=[h.target for h in hops])
+        return {g: cols[g] for g in groups}, bool(below)
+
+    def _crossed(self, names: list[str], specs: list[dict], m: Measure, call: dict) -> DataFrame | None:
+        """Groups that neither lookups nor the measure's own children reach: a parent's value on its children's rows, or the values of the
+        children of a row that can be looked up. None where the plain way reads them, or nothing does."""
+        groups = call.get("group_by", [])
+        known = [g for g in groups if g in self.package.dimensions and g not in self.package.denied]
+        far = [g for g in known if self.package.dimensions[g].entity != m.entity and not lookups(self.package, m.entity, self.package.dimensions[g].entity)]
+        if not far or len(known) < len(groups):
+            return None
+        try:
+            for g in far:
+                self._child(m.entity, self.package.dimensions[g].entity, call.get("routes"))
+            return None
+        except SemanticError as e:
+            if e.code != "PATH_NOT_FOUND":
+                raise
+        measures = [self._measure(x["id"]) for x in specs]
+        aggs = [x.get("agg", y.agg) for x, y in zip(specs, measures, strict=True)]
+        asked = {self.package.dimensions[g].entity for g in known} | {self.package.dimensions[c["id"]].entity for c in call.get("where", []) if c.get("id") in self.package.dimensions}
+        rows = next((e for e in (self.package.dimensions[g].entity for g in known) if e != m.entity and all(x == e or lookups(self.package, e, x) for x in {*asked, m.entity})), None)
+        child = {self.package.dimensions[g].entity for g in far}
+        asked_via = (call.get("routes") or {}).get(f"{m.entity}->{next(iter(child))}")
+        hops = [r for r in self.package.relationships if {r.source} == child and not r.valid and not r.forward and lookups(self.package, m.entity, r.target) and (not asked_via or asked_via[-2:-1] == [r.target])]
+        if rows is None and not hops:
+            return None
+        plain = all(x["kind"] == "measure" and not x.get("where") for x in specs) and not call.get("time") and not call.get("having") and not any("id" not in c for c in call.get("where", []))
+        if not plain or not set(aggs) <= {"sum", "count", "avg", "count_distinct"} or any(not y.additive or y.stock is not None or y.lookup for y in measures):
+            raise SemanticError("MIXED_GRAIN_INVALID", f"{far} would multiply rows of {m.entity}")
+        got = lambda reader, v: [c for n, agg in zip(names, aggs, strict=True) for c in (statistic(agg, v(n)).alias(n), F.count(F.lit(1)).alias(f"{n}n"))]
+        if rows is not None:
+            if not (key := self.package.entities[m.entity].key):
+                raise SemanticError("ROW_GRAIN_UNSUPPORTED", f"{m.entity} has no key")
+            reader = Reader(self.package, self.relation, rows, call.get("routes"))
+            cols = [reader.dimension(g).alias(g) for g in groups]
+            reader.where(call.get("where", []))
+            reader.reach(m.entity)
+            own = [F.col(f"{m.entity}${k}") for k in key]
+            there = reduce(Column.__and__, [k.isNotNull() for k in own])
+            once = reader.df.select(*cols, *[k.alias(f"__key{i}") for i, k in enumerate(own)], *[F.when(there, reader.value(y)).alias(f"__v{n}") for n, y in zip(names, measures, strict=True)]).distinct()
+            self._note("REWRITE_APPLIED", rewrite="parent_value", rows_entity=rows)
+            named = F.count("__key0") > 0  # a group that names no parent is unknown, not 0
+            return once.groupBy(*[F.col(f"`{g}`") for g in groups]).agg(*[c for n, agg in zip(names, aggs, strict=True) for c in (F.when(named, statistic(agg, F.col(f"__v{n}"))).alias(n), F.count(F.lit(1)).alias(f"{n}n"))])
+        if len(hops) > 1:
+            raise SemanticError("AMBIGUOUS_PATH", f"{len(hops)} routes lead from {m.entity} to {child}", options=[[r.target, r.source] for r in hops])
+        hop = hops[0]
+        reader = Reader(self.package, self.relation, m.entity, call.get("routes"))
+        reader.reach(hop.target)
+        cols = {g: reader.dimension(g) for g in groups if g not in far}
+        reader.where(call.get("where", []))
+        below = Reader(self.package, self.relation, hop.source, call.get("routes"))
+        sets = below.df.select(*[F.col(f"{hop.source}${a}").alias(f"__c{i}") for i, (a, _) in enumerate(hop.on)], *[below.dimension(g).alias(f"__{g}") for g in far]).distinct()
+        reader.df = reader.df.join(sets, [F.col(f"{hop.target}${b}") == F.col(f"__c{i}") for i, (_, b) in enumerate(hop.on)], "left")
+        self._note("REWRITE_APPLIED", rewrite="child_values", overlapping_groups=far, path=[hop.target, hop.source])
+        values = {n: reader.value(y) for n, y in zip(names, measures, strict=True)}
+        return reader.df.groupBy(*[cols.get(g, F.col(f"`__{g}`")).alias(g) for g in groups]).agg(*got(reader, values.__getitem__))
+
+    def _note(self, code: str, **details) -> None:
+        """What an answer says beside its rows."""
+        note = {"code": code, **details}
+        if note not in self.notes:
+            self.notes.append(note)
 
     def _child(self, parent: str, goal: str, asked: dict | None) -> tuple:
         """The hops from rows that look up both to the parent: the goal itself, or one child of the parent that can look the goal up."""
@@ -327,7 +439,7 @@ class Engine:
         except SemanticError as e:
             if e.code != "PATH_NOT_FOUND":
                 raise
-        found = [r for r in self.package.relationships if r.target == parent and lookups(self.package, r.source, goal)]
+        found = [r for r in self.package.relationships if r.target == parent and not r.forward and lookups(self.package, r.source, goal)]
         if len(found) != 1:
             raise SemanticError("AMBIGUOUS_PATH" if found else "PATH_NOT_FOUND", f"{len(found)} children of {parent} lead to {goal}", options=[r.source for r in found])
         return (found[0],)
@@ -400,11 +512,24 @@ class Engine:
             reader = Reader(self.package, self.relation, m.entity, call.get("routes"))
             value = reader.column(m.entity, m.expr)
             ends = [F.count(value).alias(f"{n}seen")]
+            clock_name, now = (call.get("time") or {}).get("clock") or r.get("clock") or m.clock, (call.get("time") or {}).get("now")
+            capped = self.package.edge_of(m.entity) != "data"
+            at = reader.clock(self.package.clocks[clock_name]) if clock_name and (grain or capped) else None
+            if at is not None and capped:
+                reader.df = self._capped(reader.df, at, m.entity, call)
             if grain:
-                c = self.package.clocks[(call.get("time") or {}).get("clock") or r.get("clock") or m.clock]
-                t = F.date_trunc(grain, reader.clock(c)).cast("date")
-                ends += [F.min(t).alias(f"{n}lo"), F.max(t).alias(f"{n}hi")]
-            marks.append((n, reader.df.agg(*ends)))
+                t = F.date_trunc(grain, at).cast("date")
+                past = F.when(at <= F.lit(now).cast("timestamp_ntz"), t) if now else t
+                ends += [F.min(t).alias(f"{n}lo"), F.max(past).alias(f"{n}hi")]
+            one = reader.df.agg(*ends)
+            if grain and capped:  # periods that end by the edge; one that a load of this morning cuts counts too
+                step = {"week": "interval 7 days", "quarter": "interval 3 months"}.get(grain, f"interval 1 {grain}")
+                today = F.date_trunc("day", F.lit(now).cast("timestamp_ntz")) if now else F.lit(None).cast("timestamp_ntz")
+                reached = F.col("__edge") - F.expr("interval 1 microsecond")
+                whole = F.date_trunc(grain, F.col("__edge")) - F.expr(step)
+                last = F.when(F.coalesce(F.col("__edge") >= today, F.lit(False)), F.date_trunc(grain, reached)).otherwise(whole).cast("date")
+                one = one.crossJoin(F.broadcast(self._edge(m.entity, call))).withColumn(f"{n}hi", last).drop("__edge")  # one row
+            marks.append((n, one))
         for n, one in marks:
             df = df.crossJoin(F.broadcast(one))  # one row
             inside = (F.col(f"{n}seen") > 0) & (F.col("period").between(F.col(f"{n}lo"), F.col(f"{n}hi")) if grain else F.lit(True))
@@ -444,6 +569,18 @@ class Engine:
             return F.when(test, yes).otherwise(no)
         if kind == "comparison":
             return condition(part(e["args"][0]), e["word"], e["args"][1])
+        if kind in ("in", "not_in"):
+            return condition(part(e["args"][0]), "is" if kind == "in" else "not", e["args"][1])
+        if kind == "between":
+            x, low, high = map(part, e["args"])
+            return (x >= low) & (x <= high)
+        if kind == "boolean":
+            tests = [part(a) for a in e["args"]]
+            return ~tests[0] if e["op"] == "not" else reduce({"and": Column.__and__, "or": Column.__or__}[e["op"]], tests)
+        if kind == "nullif":
+            return F.nullif(*[a if isinstance(a, Column) else F.lit(a) for a in map(part, e["args"])])
+        if kind == "date_add":
+            return date_add(e["unit"], e["value"], part(e["args"][0]))
         groups = [F.col(f"`{g}`") for g in ctx["groups"]]
         value = part(e["input"])
         if kind == "share":

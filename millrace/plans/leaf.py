@@ -42,6 +42,7 @@ class Reader:
         self.package, self.relation, self.start, self.routes, self.at = package, relation, start, routes, at
         self.df = self._of(start)
         self.joined: dict[str, Relationship | None] = {start: None}
+        self.period: tuple[str, Column] | None = None  # grain and bucket of the call's series, for thresholds by period
 
     def _of(self, entity: str) -> DataFrame:
         spec = self.package.entities[entity]
@@ -149,6 +150,12 @@ class Reader:
         mine = [F.col(f"{entity}${k}") for k in key]
         if "having" in c:
             picked, kind = self._threshold(c, entity, key)
+            same = [self.dimension(g) for g in c.get("context", [])]
+            beside = [F.col(f"__x{i}") for i in range(len(same))]
+            if c["over"] == "period":
+                same, beside = [*same, self.period[1]], [*beside, F.col("__period")]
+            self.df = self.df.join(picked, [m == F.col(f"__k{i}") for i, m in enumerate(mine)] + [a.eqNullSafe(b) for a, b in zip(same, beside, strict=True)], kind)
+            return
         else:
             child = c.get("any") or c["none"]
             inner = Reader(self.package, self.relation, child, self.routes)
@@ -163,20 +170,35 @@ class Reader:
         self.df = self.df.join(picked, [m == F.col(f"__k{i}") for i, m in enumerate(mine)], kind)
 
     def _threshold(self, c: dict, entity: str, key: tuple[str, ...]) -> tuple[DataFrame, str]:
-        """Entities whose statistic meets a threshold. One that 0 meets also takes entities without rows: all but the failing ones."""
+        """Entities whose statistic meets a threshold. One that 0 meets also takes entities without rows: all but the failing ones.
+        over: "all_time", a window, or "period" (each row is judged by its entity's rows of the same period of the call's series, as many
+        more periods before it as `rolling` says). context: dimensions whose values are judged apart, unknown ones together."""
         if c["having"]["id"] in self.package.denied or c["having"]["id"] in self.package.withheld:
             raise SemanticError("POLICY_DENIED", f"{c['having']['id']} isn't open")
         m = self.package.measures[c["having"]["id"]]
         inner = Reader(self.package, self.relation, m.entity, self.routes)
         inner.reach(entity)
-        if c["over"] != "all_time":
+        inner.where(c.get("where", []))
+        extra = [inner.dimension(g).alias(f"__x{i}") for i, g in enumerate(c.get("context", []))]
+        if c["over"] == "period":
+            if self.period is None or m.clock is None:
+                raise SemanticError("PREDICATE_GRAIN_UNSAFE", "a threshold by period needs a series and a clock")
+            grain, back = self.period[0], c.get("rolling", 1)
+            own = F.date_trunc(grain, inner.clock(self.package.clocks[m.clock])).cast("date")
+            step = {"week": "interval 7 days", "quarter": "interval 3 months"}.get(grain, f"interval 1 {grain}")
+            inner.df = inner.df.withColumn("__own", own)  # a row counts in its period and in those that look back on it
+            if back > 1:
+                last = F.expr(f"cast(__own + {back - 1} * {step} as date)")
+                inner.df = inner.df.withColumn("__own", F.explode(F.sequence(F.col("__own"), last, F.expr(step))))
+            extra.append(F.col("__own").alias("__period"))
+        elif c["over"] != "all_time":
             clock = self.package.clocks[m.clock]
             t = inner.clock(clock)
             start, end = c["over"]["start"], c["over"]["end"]
             inner.df = inner.df.where((t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz")))
         keys = [F.col(f"{entity}${k}") for k in key]
         value = inner.value(m)
-        per = inner.df.where(reduce(Column.__and__, [k.isNotNull() for k in keys])).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(statistic(m.agg, value).alias("__v"))
+        per = inner.df.where(reduce(Column.__and__, [k.isNotNull() for k in keys])).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)], *extra).agg(statistic(m.agg, value).alias("__v"))
         word, limit = c["having"].get("word", "gte"), c["having"]["value"]
         if isinstance(limit, dict):
             per = per.crossJoin(F.broadcast(per.agg(F.percentile("__v", F.lit(limit["percentile"])).alias("__limit"))))  # one row

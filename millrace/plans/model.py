@@ -9,28 +9,36 @@ STATISTICS = ("sum", "count", "count_distinct", "avg", "min", "max", "median", "
 
 @dataclass(frozen=True)
 class Entity:
-    """A table and its key; no key means row grain (duplicates count). row_filter is SQL that every read applies."""
+    """A table and its key; no key means row grain (duplicates count). row_filter is SQL that every read applies.
+    zero_through says how far the table is loaded: by its last row ("data"), up to the call's now ("now"), or by the largest value of a
+    column of a load log, ("loaded", table, column). The package's own holds where none is given."""
 
     table: str
     key: tuple[str, ...] = ()
     row_filter: str | None = None
+    zero_through: str | tuple[str, ...] | None = None
 
 
 @dataclass(frozen=True)
 class Relationship:
-    """Many `source` rows to one `target` row, by equal columns; valid_from/valid_to make it a history join at the query's clock."""
+    """Many `source` rows to one `target` row, by equal columns; valid_from/valid_to make it a history join at the query's clock.
+    forward: no group is read from the target's side; its measures are read from the source's rows instead."""
 
     source: str
     target: str
     on: tuple[tuple[str, str], ...]
     valid: tuple[str, str] | None = None
+    forward: bool = False
 
 
 @dataclass(frozen=True)
 class Dimension:
+    """key: a dimension that tells namesakes apart; grouping by a name also groups by its key."""
+
     entity: str
     expr: str
     unknown: tuple[str, ...] = ()
+    key: str | None = None
 
 
 @dataclass(frozen=True)
@@ -84,3 +92,9 @@ class Package:
     #: Measures and metrics that may rank groups but aren't shown: name -> how many groups at most.
     withheld: dict[str, int] = field(default_factory=dict)
     max_hops: int = 4
+    zero_through: str | tuple[str, ...] = "data"
+    #: How a measure or metric may be asked: name -> rules, see governance.py.
+    constraints: dict[str, dict] = field(default_factory=dict)
+
+    def edge_of(self, entity: str) -> str | tuple[str, ...]:
+        return self.entities[entity].zero_through or self.zero_through

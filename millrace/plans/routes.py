@@ -41,9 +41,12 @@ def route(package: Package, start: str, goal: str, asked: dict | None = None) ->
 
 
 def child_route(package: Package, parent: str, child: str, asked: dict | None = None) -> tuple[Relationship, ...]:
-    """The to-one chain from a child back to its parent."""
+    """The to-one chain from a child back to its parent, none of whose hops may be walked forward only."""
     try:
-        return route(package, child, parent, asked)
+        found = route(package, child, parent, asked)
+        if any(r.forward for r in found):
+            raise SemanticError("PATH_NOT_FOUND", f"{parent} isn't read by its {child}")
+        return found
     except SemanticError as e:
         if e.code == "PATH_NOT_FOUND":
             raise SemanticError("PATH_NOT_FOUND", f"{parent} and {child} aren't related") from None
