@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,18 @@ def _grouped(df: DataFrame, step: dict) -> DataFrame:
     return df.groupBy(*step["dimensions"]).agg(*aggs)
 
 
+def _spine_ends(start, end, max_days: int) -> tuple[date, date]:
+    try:
+        first, last = date.fromisoformat(str(start)), date.fromisoformat(str(end))
+    except ValueError as e:
+        raise SemanticError("INVALID_CONFIG", "date_spine start and end must be ISO dates") from e
+    if last < first:
+        raise SemanticError("INVALID_CONFIG", "date_spine end must be on or after start")
+    if (last - first).days + 1 > max_days:
+        raise SemanticError("INVALID_CONFIG", f"date_spine exceeds max_days={max_days}")
+    return first, last
+
+
 def run_pipeline(spark, relation, steps: list[dict]) -> DataFrame:
     """Each step is a dict with one key. Conditions of where are {"column", "word", "value"} or SQL text."""
     df: DataFrame | None = None
@@ -44,8 +58,8 @@ def run_pipeline(spark, relation, steps: list[dict]) -> DataFrame:
         if kind == "source":
             df = relation(s["relation"]).select(*s.get("columns", ["*"]))
         elif kind == "date_spine":
-            days = F.sequence(F.lit(s["start"]).cast("date"), F.lit(s["end"]).cast("date"))
-            df = spark.range(1).where(F.size(days) <= s.get("max_days", 3660)).select(F.explode(days).alias(s.get("column", "day")))
+            start, end = _spine_ends(s["start"], s["end"], s.get("max_days", 3660))
+            df = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias(s.get("column", "day")))
         elif kind == "union_all":
             first, *rest = [relation(b["relation"]).select(*b["columns"]) for b in s["branches"]]
             df = first
