@@ -1,15 +1,17 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model.
 
-The model is over bytes, of order 5, trained on all trusted text. Units of documents send their distinct 5-grams, with counts in trusted
+The model is over bytes, of order 5, trained on trusted text. Units of documents send their distinct 5-grams, with counts in trusted
 text, to shards; shards add them up, and the model's tables (continuation counts, context sums, discounts, probabilities of every gram that
 occurs anywhere) are joins and sums over distinct grams. Probabilities return to the units by shard, which sum them per document. A text is
-kept while its perplexity is within a quantile of the trusted texts of its language.
+kept while its perplexity is within a quantile of trusted texts of its language that the model has not seen: one in HELD_OUT of the trusted
+ids, by hash, stays out of the counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .roundtrip import NULL_ID, Doc, _squeeze, _unsqueeze, unit_of, units, unpac
 from .shared import drop_staged, release, staged
 
 ORDER = 5
+#: One in so many trusted ids sets the thresholds and is not counted.
+HELD_OUT = 5
 U8 = np.dtype(np.uint64)
 
 
@@ -75,19 +79,23 @@ def _model(totals: DataFrame) -> DataFrame:
     return below.select("g", F.log("p").alias("logp"))
 
 
-def score(documents: DataFrame, trusted: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang, trusted, n (bytes), perplexity per byte (null for a null or empty text); one row per document row.
+def score(documents: DataFrame, trusted: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT) -> DataFrame:
+    """doc_id, lang, trusted, held_out, n (bytes), perplexity per byte (null for a null or empty text); one row per document row.
 
-    trusted: a table whose first column holds the ids of trusted documents; other ids, null ones and repeats don't matter.
+    trusted: a table whose first column holds the ids of trusted documents; other ids, null ones and repeats don't matter. One in `held_out`
+    of them, by a hash of the id, is not counted in the model; where that would leave none to count, all are counted and none is held out.
     """
     unit_rows, n = units(documents.withColumn("__lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))), id_col, text_col, extra="__lang")
     bits = max(6, (n - 1).bit_length())
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).where("id is not null")
-    good_rows = ids.select(unit_of(F.col("id"), F.lit(None).cast("string"), n).alias("unit"), "id").repartition(n, "unit")
+    out = F.crc32(F.col("id").cast("string")) % held_out == 0
+    if ids.where(~out).isEmpty():
+        out = F.lit(False)
+    good_rows = ids.select(unit_of(F.col("id"), F.lit(None).cast("string"), n).alias("unit"), "id", out.alias("out")).repartition(n, "unit")
 
     def asks(left: pa.Table, right: pa.Table) -> tuple:
         docs = unpack(left.column("blob").to_pylist())
-        good = set(right.column("id").to_pylist())
+        good = set(right.filter(pc.invert(right.column("out"))).column("id").to_pylist())
         flags = [d.id in good for d in docs]
         return docs, flags, _asks(docs, flags)
 
@@ -119,10 +127,10 @@ def score(documents: DataFrame, trusted: DataFrame, lang_col: str = "lang", id_c
         known, _, slot = _asks(docs, [False] * len(docs))
         shard = (mix(known) >> np.uint64(64 - bits)).astype(np.int64)
         logp = np.zeros(len(known), np.float32)
-        good: set[int] = set()
-        for s, raw, id_ in zip(right.column("rng").to_pylist(), right.column("reply").to_pylist(), right.column("id").to_pylist(), strict=True):
+        good: dict[int, bool] = {}
+        for s, raw, id_, out in zip(*(right.column(c).to_pylist() for c in ("rng", "reply", "id", "out")), strict=True):
             if raw is None:
-                good.add(id_)
+                good[id_] = out
             else:
                 logp[shard == s] = _unsqueeze(raw, np.dtype(np.float32))
         sizes = [len(d.text or b"") for d in docs]
@@ -131,7 +139,7 @@ def score(documents: DataFrame, trusted: DataFrame, lang_col: str = "lang", id_c
         mean = [(ends[b] - ends[a]) / (b - a) if b > a else None for a, b in zip(cut, cut[1:], strict=False)]
         return pa.table(
             {
-                "doc_id": pa.array([None if d.id == NULL_ID else d.id for d in docs], pa.int64()), "lang": pa.array([d.extra for d in docs], pa.string()), "trusted": pa.array([d.id in good for d in docs], pa.bool_()),
+                "doc_id": pa.array([None if d.id == NULL_ID else d.id for d in docs], pa.int64()), "lang": pa.array([d.extra for d in docs], pa.string()), "trusted": pa.array([d.id in good for d in docs], pa.bool_()), "held_out": pa.array([good.get(d.id, False) for d in docs], pa.bool_()),
                 "n": pa.array(sizes, pa.int64()), "perplexity": pa.array([None if m is None else float(np.exp(-m)) for m in mean], pa.float64()),
             }
         )
@@ -142,22 +150,24 @@ def score(documents: DataFrame, trusted: DataFrame, lang_col: str = "lang", id_c
     model = _model(totals.select("g", "n")).join(totals.select("g", "rng"), "g")
     release(documents.sparkSession)
     back = sent.groupBy("rng").cogroup(model.select("rng", "g", "logp").repartition(1 << bits, "rng").groupBy("rng")).applyInArrow(reply, "unit int, rng int, reply binary")
-    both = back.withColumn("id", F.lit(None).cast("long")).unionByName(good_rows.select("unit", "id"), allowMissingColumns=True)
-    return unit_rows.groupBy("unit").cogroup(both.repartition(n, "unit").groupBy("unit")).applyInArrow(total, "doc_id long, lang string, trusted boolean, n long, perplexity double")
+    both = back.withColumn("id", F.lit(None).cast("long")).unionByName(good_rows.select("unit", "id", "out"), allowMissingColumns=True)
+    return unit_rows.groupBy("unit").cogroup(both.repartition(n, "unit").groupBy("unit")).applyInArrow(total, "doc_id long, lang string, trusted boolean, held_out boolean, n long, perplexity double")
 
 
-def classify(documents: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.5, **names: str) -> DataFrame:
+def classify(documents: DataFrame, trusted: DataFrame, quantile: float = 0.99, **names) -> DataFrame:
     """score(), with threshold and keep.
 
-    The threshold of a language is `slack` times the `quantile` (by a mergeable summary, rank error 1e-5) of its trusted texts' perplexities; where a language has none, that of all
-    trusted texts; where nothing is trusted, all texts are kept. A null or empty text has no perplexity and isn't kept. A null language
-    is `und`. Repeated rows are scored each and count each; an empty table gives no rows; the input must read the same each time.
+    The threshold of a language is the `quantile` (by a mergeable summary, rank error 1e-5) of its held-out trusted texts' perplexities; where a
+    language has none, that of all held-out texts; where none is held out, that of all trusted texts; where nothing is trusted, all texts are
+    kept. A null or empty text has no perplexity and isn't kept. A null language is `und`. Repeated rows are scored each and count each; an
+    empty table gives no rows; the input must read the same each time.
     """
     scored = staged(score(documents, trusted, **names), "scored")
     good = scored.where(F.col("trusted") & F.col("perplexity").isNotNull())
-    limit = lambda: (F.percentile_approx("perplexity", quantile, 100_000) * slack).alias("threshold")
-    by_lang = staged(good.groupBy("lang").agg(limit()), "thresholds")
-    overall = good.agg(limit()).first()["threshold"]
+    limit = lambda col: F.percentile_approx(col, quantile, 100_000).alias("threshold")
+    unseen = F.when(F.col("held_out"), F.col("perplexity"))
+    by_lang = staged(good.where("held_out").groupBy("lang").agg(limit("perplexity")), "thresholds")
+    overall = good.agg(F.coalesce(limit(unseen), limit("perplexity")).alias("threshold")).first()["threshold"]
     threshold = F.coalesce("threshold", F.lit(overall).cast("double"))
     joined = scored.join(by_lang, "lang", "left").withColumn("threshold", threshold)
     keep = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))

@@ -174,6 +174,22 @@ def test_quality(spark, docs):
     assert total and got[1001].perplexity > 4 * got[40].perplexity
 
 
+def test_quality_threshold_is_a_quantile_of_held_out_texts(spark):
+    rows = [(i, words(random.Random(100 + i), 60), "en" if i % 2 else "de") for i in range(120)]
+    trusted = spark.createDataFrame([(i,) for i in range(100)], "doc_id long")
+    scored = {r.doc_id: r for r in perplexity.score(frame(spark, rows), trusted).collect()}
+    out = {i for i, r in scored.items() if r.held_out}
+    assert 10 <= len(out) <= 35 and out < set(range(100)) and all(scored[i].trusted for i in range(100))
+    mean = lambda ids: sum(scored[i].perplexity for i in ids) / len(ids)
+    assert mean(out) > 1.02 * mean(set(range(100)) - out)  # the model has not seen them
+    for r in perplexity.classify(frame(spark, rows), trusted).collect():
+        same = [scored[i].perplexity for i in out if scored[i].lang == r.lang]
+        assert abs(r.threshold - max(same)) < 1e-9 and r.keep == (r.perplexity <= r.threshold)
+    one = spark.createDataFrame([(5,)], "doc_id long")
+    got = {r.doc_id: r for r in perplexity.classify(frame(spark, rows), one).collect()}
+    assert {r.threshold for r in got.values()} == {got[5].perplexity}
+
+
 def test_revisits(spark):
     h = {"Date": "1"}
     rows = [
