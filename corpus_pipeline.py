@@ -31,17 +31,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select(*[F.coalesce(F.length("text"), F.lit(0)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a unique __row, written once so that it reads the same each time: an id may be null or repeat."""
+    return staged(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+
+
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each component; rows without an id have no component of their own and stay."""
-    found = jaccard_components(docs)
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each component: that of smallest id, rows without an id last."""
+    keyed = _keyed(docs)
+    found = jaccard_components(keyed, id_col="__row").where("doc_id <> component_id")
+    copies = staged(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("root")), "near-copies")
+    members = copies.unionByName(copies.select(F.col("root").alias("__row"), "root").distinct())
+    named = members.join(keyed.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
+    kept = staged(named.groupBy("root").agg(first).select("first.__row"), "kept")
+    gone = staged(members.select("__row").join(kept, "__row", "left_anti"), "gone")
+    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
-    leaks = staged(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drops rows that hold an item of the benchmark."""
+    keyed = _keyed(docs)
+    found = find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="__row")
+    leaks = staged(found.select(F.col("doc_id").alias("__row")).distinct(), "leaks")
+    return keyed.join(leaks, "__row", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

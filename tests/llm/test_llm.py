@@ -224,3 +224,18 @@ def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     leaks = {r.doc_id for r in decontaminate.find_leaks(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")).collect()}
     assert len(packed) and not leaks & set(packed.doc_id) and packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c, leak = (words(rng, 40) for _ in range(4))
+    near = frame(spark, [(3, a, "en"), (None, a, "en"), (2, a, "en"), (2, a, "en"), (2, b, "en"), (None, c, "en"), (None, c, "en"), (None, "", "en")])
+    got = corpus_pipeline.near_copy_stage(spark, near, "")
+    assert got.columns == near.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(2, a), (2, b), (None, c), (None, "")], key=repr)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, [(None, f"{b} {leak}", "en"), (None, c, "en"), (7, f"{leak} {b}", "en"), (7, a, "en"), (8, b, "en")])
+    got = corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(None, c), (7, a), (8, b)], key=repr)
