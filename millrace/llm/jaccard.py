@@ -136,7 +136,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document.
+    """doc_id, n_shingles, component_id: one row per document. Only components are computed: pairs already in one class aren't compared, so links are neither enumerated nor counted.
 
     A document's set holds its distinct shingles of `words` words (A-Z lower-cased, split at ASCII white space); of a shorter text, the whole
     sequence; of a null, empty or blank text, nothing, and it is linked with nothing. Two link when 100 * intersection >= percent * union.
