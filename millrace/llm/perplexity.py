@@ -9,6 +9,8 @@ ids, by hash, stays out of the counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,26 +24,78 @@ from .shared import drop_staged, release, staged
 ORDER = 5
 #: One in so many trusted ids sets the thresholds and is not counted.
 HELD_OUT = 5
+#: Bytes of text whose grams are sorted at a time.
+BLOCK = 256 << 10
 U8 = np.dtype(np.uint64)
 
 
-def grams(raw: bytes) -> np.ndarray:
-    """The gram that ends at each byte, after four zero bytes."""
-    buf = np.frombuffer(b"\0" * (ORDER - 1) + raw, np.uint8).astype(np.uint64)
-    out = np.zeros(len(raw), np.uint64)
-    for k in range(ORDER):
-        out = out << np.uint64(8) | buf[k : k + len(raw)]
-    return out
-
+def _blocks(docs: list[Doc], pick: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The grams of some documents, BLOCK bytes at a time, and the document of each: the gram that ends at each byte, after four zero bytes.
 
-def _asks(docs: list[Doc], trusted: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams (in order of their mixed hash), counts in trusted text, and each position's gram."""
-    parts = [grams(d.text or b"") for d in docs]
-    flat = np.concatenate([np.zeros(0, np.uint64), *parts])
-    known, slot = np.unique(flat, return_inverse=True)
-    good = np.repeat(np.array(trusted, bool), [len(p) for p in parts])
-    counts = np.bincount(slot[good], minlength=len(known)) if len(flat) else np.zeros(0, np.int64)
-    return known, counts.astype(np.uint32), slot
+    A long text is cut, and its parts overlap by what a gram reaches back.
+    """
+    back = ORDER - 1
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        raw = b"".join(part for _, part in held) + b"\0" * (8 - ORDER)
+        n = len(raw) - 8 + 1
+        found = np.ndarray((n,), ">u8", raw, 0, (1,)).astype(np.uint64) >> np.uint64(8 * (8 - ORDER))
+        sizes = np.array([len(part) for _, part in held])
+        owner = np.repeat(np.array([i for i, _ in held]), sizes)[back : back + n]
+        ends = np.cumsum(sizes)[:-1]
+        inside = np.ones(n, bool)  # a gram that begins in one part and ends in the next is none
+        inside[(ends[:, None] - back + np.arange(back)).ravel()] = False
+        return found[inside], owner[inside]
+
+    for i in pick:
+        text = b"\0" * back + (docs[i].text or b"")
+        for a in range(0, len(text) - back, BLOCK):
+            part = text[a : a + BLOCK + back]
+            held.append((i, part))
+            size += len(part)
+            if size >= BLOCK:
+                yield block()
+                held, size = [], 0
+    if held:
+        yield block()
+
+
+def _runs(ascending: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(ascending[1:] != ascending[:-1]) + 1, [len(ascending)]]) if len(ascending) else np.zeros(1, np.int64)
+
+
+def _asks(docs: list[Doc], trusted: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, ascending, and their counts in trusted text. Only the distinct ones of each block are held."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for good in (True, False):
+        for found, _ in _blocks(docs, [i for i, t in enumerate(trusted) if t is good]):
+            found.sort()
+            at = _runs(found)
+            keys.append(found[at[:-1]])
+            counts.append(np.diff(at) if good else np.zeros(len(at) - 1, np.int64))
+    flat, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    at = _runs(flat)
+    return flat[at[:-1]], np.add.reduceat(n[order], at[:-1]) if len(flat) else n
+
+
+def _sums(docs: list[Doc], known: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Per document, the sum over its grams."""
+    total = np.zeros(len(docs))
+    for found, owner in _blocks(docs, range(len(docs))):
+        lo = int(owner[0]) if len(owner) else 0
+        both = found << np.uint64(24) | (owner - lo).astype(np.uint64)  # a gram has 40 bits, and a block fewer than 2**24 documents
+        both.sort()
+        found, owner = both >> np.uint64(24), (both & np.uint64((1 << 24) - 1)).astype(np.int64)
+        at = _runs(found)
+        value = np.repeat(logp[np.searchsorted(known, found[at[:-1]])].astype(np.float64), np.diff(at))
+        part = np.bincount(owner, value)
+        total[lo : lo + len(part)] += part
+    return total
 
 
 def _model(totals: DataFrame) -> DataFrame:
@@ -86,33 +140,40 @@ def score(documents: DataFrame, trusted: DataFrame, lang_col: str = "lang", id_c
     of them, by a hash of the id, is not counted in the model; where that would leave none to count, all are counted and none is held out.
     """
     unit_rows, n = units(documents.withColumn("__lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))), id_col, text_col, extra="__lang")
-    bits = max(6, (n - 1).bit_length())
+    bits = max(1, (n - 1).bit_length())
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).where("id is not null")
     out = F.crc32(F.col("id").cast("string")) % held_out == 0
     if ids.where(~out).isEmpty():
         out = F.lit(False)
     good_rows = ids.select(unit_of(F.col("id"), F.lit(None).cast("string"), n).alias("unit"), "id", out.alias("out")).repartition(n, "unit")
 
-    def asks(left: pa.Table, right: pa.Table) -> tuple:
-        docs = unpack(left.column("blob").to_pylist())
-        good = set(right.filter(pc.invert(right.column("out"))).column("id").to_pylist())
-        flags = [d.id in good for d in docs]
-        return docs, flags, _asks(docs, flags)
+    def by_shard(known: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+        """The shards that some ascending grams go to, and the places of each one's grams."""
+        shard = (mix(known) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        at = _runs(shard[order])
+        return shard[order][at[:-1]].tolist(), [order[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def forward(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        _, _, (known, counts, _) = asks(left, right)
-        shard = (mix(known) >> np.uint64(64 - bits)).astype(np.int64)
-        some = np.unique(shard)
-        at = [shard == s for s in some]
-        unit = pa.array([key[0].as_py()] * len(some), pa.int32())
-        return pa.table({"rng": pa.array(some, pa.int32()), "unit": unit, "keys": pa.array([_squeeze(known[m]) for m in at], pa.binary()), "loads": pa.array([_squeeze(counts[m]) for m in at], pa.binary())})
+        docs = unpack(left.column("blob").to_pylist())
+        good = set(right.filter(pc.invert(right.column("out"))).column("id").to_pylist())
+        known, counts = _asks(docs, [d.id in good for d in docs])
+        some, parts = by_shard(known)
+        return pa.table(
+            {
+                "rng": pa.array(some, pa.int32()),
+                "unit": pa.array(np.full(len(some), key[0].as_py()), pa.int32()),
+                "keys": pa.array([_squeeze(known[m]) for m in parts], pa.binary()),
+                "loads": pa.array([_squeeze(counts[m].astype(np.uint32)) for m in parts], pa.binary()),
+            }
+        )
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
         keys = np.concatenate([_unsqueeze(x, U8) for x in group.column("keys").to_pylist()])
         loads = np.concatenate([_unsqueeze(x, np.dtype(np.uint32)) for x in group.column("loads").to_pylist()])
-        known, slot = np.unique(keys, return_inverse=True)
-        total = np.zeros(len(known), np.int64)
-        np.add.at(total, slot, loads)
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], _runs(keys[order])
+        known, total = keys[at[:-1]], np.add.reduceat(loads[order].astype(np.int64), at[:-1])
         return pa.table({"rng": pa.array(np.full(len(known), key[0].as_py()), pa.int32()), "g": pa.array(known.astype(np.int64)), "n": pa.array(total)})
 
     def reply(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -124,19 +185,17 @@ def score(documents: DataFrame, trusted: DataFrame, lang_col: str = "lang", id_c
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
         docs = unpack(left.column("blob").to_pylist())
-        known, _, slot = _asks(docs, [False] * len(docs))
-        shard = (mix(known) >> np.uint64(64 - bits)).astype(np.int64)
+        known, _ = _asks(docs, [False] * len(docs))
+        shards = dict(zip(*by_shard(known), strict=True))
         logp = np.zeros(len(known), np.float32)
         good: dict[int, bool] = {}
         for s, raw, id_, out in zip(*(right.column(c).to_pylist() for c in ("rng", "reply", "id", "out")), strict=True):
             if raw is None:
                 good[id_] = out
             else:
-                logp[shard == s] = _unsqueeze(raw, np.dtype(np.float32))
+                logp[shards[s]] = _unsqueeze(raw, np.dtype(np.float32))
         sizes = [len(d.text or b"") for d in docs]
-        ends = np.concatenate([[0.0], np.cumsum(logp[slot], dtype=np.float64)])
-        cut = np.cumsum([0, *sizes])
-        mean = [(ends[b] - ends[a]) / (b - a) if b > a else None for a, b in zip(cut, cut[1:], strict=False)]
+        mean = [x / n if n else None for x, n in zip(_sums(docs, known, logp).tolist(), sizes, strict=True)]
         return pa.table(
             {
                 "doc_id": pa.array([None if d.id == NULL_ID else d.id for d in docs], pa.int64()), "lang": pa.array([d.extra for d in docs], pa.string()), "trusted": pa.array([d.id in good for d in docs], pa.bool_()), "held_out": pa.array([good.get(d.id, False) for d in docs], pa.bool_()),
@@ -144,7 +203,10 @@ def score(documents: DataFrame, trusted: DataFrame, lang_col: str = "lang", id_c
             }
         )
 
-    sent = unit_rows.groupBy("unit").cogroup(good_rows.groupBy("unit")).applyInArrow(forward, "rng int, unit int, keys binary, loads binary").repartition(1 << bits, "rng")
+    # staged, as it is read twice: the texts' grams are found once for it, and once more where the replies arrive
+    asked = staged(unit_rows.groupBy("unit").cogroup(good_rows.groupBy("unit")).applyInArrow(forward, "rng int, unit int, keys binary, loads binary"), "asked")
+    release(documents.sparkSession)
+    sent = asked.repartition(1 << bits, "rng")
     totals = staged(sent.groupBy("rng").applyInArrow(add, "rng int, g long, n long"), "totals")
     release(documents.sparkSession)
     model = _model(totals.select("g", "n")).join(totals.select("g", "rng"), "g")

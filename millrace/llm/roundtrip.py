@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .shared import text_bytes
 
 UNIT_BYTES = 8 << 20
+#: Units of a small table, so that its work is spread.
+LEAST = 64
 NULL_ID = 2**63 - 1
 
 
@@ -84,9 +86,9 @@ def unit_of(doc: Column, text: Column, n: int) -> Column:
     return F.pmod(F.when(doc.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc.cast("long"))), F.lit(n)).cast("int")
 
 
-def units(docs: DataFrame, id_col: str, text_col: str, extra: str | None = None, least: int = 64, unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame, int]:
+def units(docs: DataFrame, id_col: str, text_col: str, extra: str | None = None, least: int | None = None, unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame, int]:
     """(unit, blob) rows of a table, dealt by unit; and the number of units."""
-    n = max(least, -(-text_bytes(docs, text_col) // unit_bytes))
+    n = max(least or LEAST, -(-text_bytes(docs, text_col) // unit_bytes))
     key = unit_of(F.col(id_col), F.col(text_col), n)
     rows = docs.select(key.alias("unit"), F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"), (F.encode(F.col(extra).cast("string"), "UTF-8") if extra else F.lit(None).cast("binary")).alias("extra"))
     return rows.mapInArrow(_to_units(64 << 20), "unit int, blob binary").repartition(n, "unit"), n
@@ -119,7 +121,7 @@ def round_trip(
     A range's task gets the keys' next `low_bits` (32 or 64) bits below those that name the range.
     """
     load, reply = np.dtype(load), np.dtype(reply)
-    top = max(6, (n_units - 1).bit_length())
+    top = max(1, (n_units - 1).bit_length())
     ranges = 1 << top
     low = np.dtype(np.uint32 if low_bits == 32 else np.uint64)
 
