@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while left.limit(1).count():
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), "hooks")
-        step = lambda df, col: df.join(hook.select(F.col("a").alias("__a"), "to"), F.col(col) == F.col("__a"), "left").withColumn(col, F.coalesce("to", col)).drop("__a", "to")  # noqa: E731, B023
+        step = lambda df, col: df.hint("merge").join(hook.select(F.col("a").alias("__a"), "to"), F.col(col) == F.col("__a"), "left").withColumn(col, F.coalesce("to", col)).drop("__a", "to")  # noqa: E731, B023
         old_left, old_roots = left, roots
         left = staged(step(step(left, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         roots = staged(step(roots, "root"), "roots")

@@ -1,15 +1,16 @@
 """Exact join of word-shingle sets on Jaccard similarity, as a metric-space join.
 
-1 - Jaccard is a metric. Plain Voronoi regions don't work on texts: most pairs are at distance 1, so a text has no nearest pivot and the
-window of the triangle inequality takes it to all regions. Here regions are cut where distances are below 1: texts are ordered by how many
-texts hold a shingle, and two texts within the threshold share a shingle among the rarest n - ceil(t*n) + 1 of either; each such shingle
-that more than one text holds is a region, its pivot the text of least hash in it. Every text of a region is compared with the pivot. Texts
-within the threshold of it are in its class. Two others can only be a pair if their distances to the pivot differ by no more than the
-radius (the window of the triangle inequality), their sizes fit, they are in different classes so far and their sketches allow it; regions
-that still hold such texts are joined again with more pivots, until none is left. Equal sets are one node from the start, so a group of copies
-is one text. A sketch bounds the symmetric difference of two sets from below: what no other text holds is in it, and so is at least one
-shingle for each bit in which the parities of their other shingles by SKETCH hash bits differ. A text most of whose shingles no other
-holds is in no region.
+1 - Jaccard is a metric. Pivots create Voronoi regions: a text is at home with the nearest pivot within the radius (the greatest distance of two
+linked texts), and linked to it. By the triangle inequality a partner of a text at home lies within twice the radius of that pivot, so the
+texts of that window are replicated into the region as its boundary. Texts that no pivot is near stay in a remainder, which is joined again
+with pivots of its own, and a region's home texts are joined with its boundary through pivots drawn from the boundary, within the windows
+of both distances, until no region holds texts of two classes that could be linked. Equal sets are one text from the start.
+
+Nearly all pairs of texts are at distance 1, where windows exclude nothing, so the space is first cut into blocks outside which no text
+within the radius lies. The shingles of a text that other texts hold too are dealt by hash into parts; a pair within the radius differs in at most
+H shingles, so of H + 1 parts some part is equal on both sides. Texts that agree in a whole part, one of the H + 1 whose shingles are rarest,
+are a block. The pivots of the first round are the texts of least hash of each block. What no other text holds also bounds H, and with sketches
+(the parities of the other shingles by SKETCH hash bits) it bounds the distance of two texts from below before their sets are read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -78,7 +79,7 @@ def _answer(keys: np.ndarray, loads: np.ndarray, who: np.ndarray) -> np.ndarray:
     return out
 
 
-FIELDS = [("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("shared", pa.bool_()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary()), ("rare", pa.int32()), *((g, pa.int64()) for g in LANES)]
+FIELDS = [("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("shared", pa.bool_()), ("blocks", pa.list_(pa.int64())), ("shingles", pa.binary()), ("rare", pa.int32()), *((g, pa.int64()) for g in LANES)]
 BARE = (None,) * (2 + len(LANES))
 
 
@@ -87,6 +88,45 @@ def _sketch(s: np.ndarray) -> list[int]:
     return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _edges(percent: int, most: int) -> list[int]:
+    """Least sizes of the classes of sizes, up to two beyond that of `most`: sets within the threshold are of one class or of neighbouring ones."""
+    out, beyond = [1], 0
+    while beyond < 3:
+        out.append(max(out[-1] + 1, (out[-1] - 1) * 100 // percent + 1))
+        beyond += out[-1] > most
+    return out
+
+
+def _blocks(held: np.ndarray, kinds: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Keys of the blocks of a set of n shingles, of which others hold `held` (kinds: how common each is).
+
+    Pairs meet in the class of the larger one, so a set has blocks in its own class and in the next.
+    """
+    edges = _edges(percent, n)
+    own = int(np.searchsorted(edges, n, "right")) - 1
+    budget = lambda both: (100 - percent) * both // (100 + percent)
+    rare, largest, out = n - len(held), n * 100 // percent, []
+    for c in (own, own + 1):
+        if c > own and largest < edges[c]:
+            break
+        upper = edges[c + 1] - 1
+        parts = (budget(2 * upper) * 5 + 3) // 4 + 1
+        take = budget(n + min(upper, largest)) - rare + 1
+        if take < 1:
+            continue
+        part = (mix(held ^ np.uint64(0x8CB92BA72F3D8DD7 + c)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[order], np.arange(parts))
+        some = np.diff(np.append(at, len(part))) > 0
+        mark, common = np.zeros(parts, np.uint64), np.full(parts, 255, np.int64)
+        if some.any():
+            mark[some] = np.add.reduceat(mix(held + np.uint64(0x2545F4914F6CDD1D))[order], at[some])
+            common[some] = np.minimum.reduceat(kinds[order].astype(np.int64), at[some])
+        mark = mix(mix(mark + np.arange(parts, dtype=np.uint64)) + np.uint64(c))
+        out.append(mark[np.lexsort((mark, common))[:take]])
+    return np.concatenate([np.zeros(0, np.uint64), *out])
+
+
 def _use_for(percent: int):
     def use(docs: list[Doc], state, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets, marks, slot = state
@@ -103,17 +143,16 @@ def _use_for(percent: int):
             at += n
             copies = int(codes[slot[mark_at]])
             mark_at += 1
-            prefix = np.zeros(0, np.uint64)
+            blocks = np.zeros(0, np.uint64)
             first = copies < 2 and node not in seen
             if first:
                 seen.add(node)
                 held = s[kinds > 0]
                 if 100 * len(held) >= percent * n:
-                    order = np.lexsort((s, kinds))[: n - -(-percent * n // 100) + 1]
-                    prefix = s[order][kinds[order] > 0]
-                if len(prefix):
-                    rows.append((1, doc, node, n, True, prefix.view(np.int64), s.tobytes(), n - len(held), *_sketch(held)))
-            rows.append((0, doc, node, n, bool(copies or len(prefix) or not first), None, *BARE))
+                    blocks = _blocks(held, kinds[kinds > 0], n, percent)
+                if len(blocks):
+                    rows.append((1, doc, node, n, True, blocks.view(np.int64), s.tobytes(), n - len(held), *_sketch(held)))
+            rows.append((0, doc, node, n, bool(copies or len(blocks) or not first), None, *BARE))
         for a in range(0, len(rows), 512):
             cols = zip(*rows[a : a + 512], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, FIELDS, strict=True)], [n for n, _ in FIELDS])
@@ -128,13 +167,21 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b, d (distance), linked of distinct pairs (a < b) of nodes whose sizes fit."""
+    """a, b, d (distance), linked of distinct pairs (a < b) of nodes."""
     left, right = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na int, nb int, both int")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na int, nb int, both int")
     union = F.col("na") + F.col("nb") - F.col("both")
     return both.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both").cast("long") >= percent * union).alias("linked"))
 
 
+def _within(percent: int, times: int) -> Column:
+    """Whether sizes and sketches of a node and a pivot (columns with _p) let them be within `times` (1 or 2) the radius."""
+    near = max(0, 100 - times * (100 - percent))  # the least similarity, in percent
+    sizes = 100 * F.least("n", "n_p") >= near * F.greatest("n", "n_p")
+    apart = sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"{g}_p"))) for g in LANES), F.col("rare") + F.col("rare_p"))
+    return sizes & ((100 + near) * apart <= (100 - near) * (F.col("n") + F.col("n_p")))
+
+
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document. Only components are computed: pairs already in one class aren't compared, so links are neither enumerated nor counted.
 
@@ -146,50 +193,98 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     """
     spark = documents.sparkSession
     rows, n_units = units(documents, id_col, text_col)
-    schema = "kind int, doc_id long, node long, n int, shared boolean, prefix array<long>, shingles binary, rare int, " + ", ".join(f"{g} long" for g in LANES)
+    schema = "kind int, doc_id long, node long, n int, shared boolean, blocks array<long>, shingles binary, rare int, " + ", ".join(f"{g} long" for g in LANES)
     work = round_trip(rows, n_units, _asks_for(words), _answer, _use_for(percent), schema, LOAD, np.dtype(np.uint8), low_bits=32)
     found = staged(work, "jaccard")
     del rows, work
     release(spark)
     docs = found.where("kind = 0").select("doc_id", "node", "n", "shared")
-    nodes = found.where("kind = 1").select("node", "n", "shingles")
-    sketches = found.where("kind = 1").select("node", "rare", *LANES)
+    labels = _joined(found.where("kind = 1"), percent)
+    tagged = staged(docs.where("shared").hint("merge").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n", "root"), "classes")
+    least = staged(tagged.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    joined = tagged.hint("merge").join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = docs.where("not shared").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return alone.unionByName(joined)
+
+
+def _joined(texts: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of every node that has a link. texts: node, n, blocks, shingles, rare and sketch, one row per node.
+
+    Two kinds of regions are open in a round. A plain one (region, node) asks for all links among its nodes; some of them become pivots, each
+    with a cell of what is at home with it. A cell (region, node, home, d) asks for links between its home and its boundary nodes only;
+    boundary nodes become pivots and meet the home ones. Nodes of one class needn't meet. A region without two classes is closed.
+    """
     radius = 1 - percent / 100
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    held = found.where("kind = 1").select("node", "n", F.explode("prefix").alias("s"))
-    pivots = staged(held.groupBy("s").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("s", F.col("p.node").alias("p"), F.col("p.n").alias("np")), "pivots")
-    members = staged(held.join(pivots, "s").where("node <> p"), "members")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    asked = members.where(fits(F.col("n"), F.col("np"))).select(*pair("node", "p")).distinct()
-    known = staged(_verified(asked, nodes, percent), "distances")
-    links = known.where("linked").select("a", "b")
-    labels = components(links)
-    release(spark)
-    near = members.join(known.select("a", "b", "d"), (F.least("node", "p") == F.col("a")) & (F.greatest("node", "p") == F.col("b")), "left")
-    left = staged(near.select("s", "node", "n", F.col("d")), "region")
+    nodes = texts.select("node", "n", "shingles")
+    sketches = staged(texts.select("node", "n", "rare", *LANES), "sketches")
+    of_pivot = sketches.select(F.col("node").alias("p"), *[F.col(c).alias(f"{c}_p") for c in ("n", "rare", *LANES)])
+    pair = (F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+    of_pair = lambda known: (F.least("node", "p") == known["a"]) & (F.greatest("node", "p") == known["b"])
+    held = texts.select("node", F.explode("blocks").alias("block"))
+    leaders = staged(held.groupBy("block").agg(F.min("node").alias("p"), F.count("*").alias("m")).where("m > 1").select("block", "p"), "leaders")
+    plain = staged(held.hint("merge").join(leaders, "block").select(F.col("p").alias("region"), "node").distinct(), "plain")
+    pivots = staged(plain.select("region").distinct().select("region", F.col("region").alias("p")), "pivots")
+    cells = asking = known = links = labels = None
     wide = 1
     while True:
-        # what is left of a region: texts that no pivot has met, with the class they are in so far
-        named = left.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.count("*").alias("m")).where("lo <> hi").select("s", "first", "m")
-        open_ = staged(named.join(staged(mixed, "mixed"), "s").join(sketches, "node"), "open")
-        if not open_.limit(1).count():
-            break
-        # about `wide` nodes of least hash, by a threshold from the region's size: no region is sorted, and regions that overlap agree
-        least_hash = (F.col("node") / 2.0**64 + 0.5) * F.col("m") < wide
-        ranked = open_.where(least_hash | (F.col("node") == F.col("first")))
-        chosen = staged(ranked.select("s", F.col("node").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("root").alias("rp"), F.col("rare").alias("rare_p"), *(F.col(g).alias(f"{g}_p") for g in LANES)), "chosen")
-        window = F.coalesce(F.abs(F.col("d") - F.col("dp")) <= radius + 1e-9, F.lit(True))
-        apart = sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"{g}_p"))) for g in LANES), F.col("rare") + F.col("rare_p"))
-        near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("np"))
-        meet = open_.join(chosen, "s").where((F.col("root") != F.col("rp")) & fits(F.col("n"), F.col("np")) & window & near)
-        more = staged(_verified(meet.select(*pair("node", "p")).distinct(), nodes, percent), "distances")
-        links = staged(links.unionByName(more.where("linked").select("a", "b")), "links")
+        # plain regions: nodes meet their region's pivots where they can be within twice the radius
+        meet = plain.hint("merge").join(pivots, "region").where("node <> p").hint("merge").join(sketches, "node").hint("merge").join(of_pivot, "p").where(_within(percent, 2)).select("region", "node", "p")
+        meet = staged(meet, "meet")
+        pairs = meet.select(*pair)
+        if cells is not None:  # cells: home nodes meet the pivots of the boundary within the windows
+            close = F.abs(F.col("d") - F.col("dp")) <= radius + 1e-9
+            near = cells.where("home").hint("merge").join(asking, "region").where(close & (F.col("root") != F.col("rp"))).hint("merge").join(sketches, "node").hint("merge").join(of_pivot, "p").where(_within(percent, 1))
+            pairs = pairs.unionByName(near.select(*pair))
+        pairs = pairs.distinct()
+        if known is not None:
+            pairs = pairs.hint("merge").join(known.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = staged(_verified(pairs, nodes, percent), "distances")
+        known = fresh if known is None else staged(known.unionByName(fresh), "known")
+        more = fresh.where("linked").select("a", "b")
+        links = more if links is None else staged(links.unionByName(more), "links")
         labels = components(links)
-        left = staged(open_.join(chosen.select("s", F.col("p").alias("node")), ["s", "node"], "left_anti").select("s", "node", "n", "d"), "region")
+        release(texts.sparkSession)
+        rooted = lambda df: df.hint("merge").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: E731, B023
+        # homes, boundaries and the remainder of plain regions
+        far = staged(meet.join(known.hint("merge"), of_pair(known)).where(F.col("d") <= 2 * radius + 1e-9).select("region", "node", "p", "d", "linked"), "windows")
+        nearest = far.where("linked").groupBy("region", "node").agg(F.min(F.struct("d", "p")).alias("at")).select("region", "node", F.col("at.p").alias("home_p"))
+        nearest = staged(nearest, "homes")
+        taken = nearest.select("region", "node").unionByName(pivots.select("region", F.col("p").alias("node")))
+        rest = plain.hint("merge").join(taken, ["region", "node"], "left_anti")
+        placed = far.hint("merge").join(nearest, ["region", "node"], "left").withColumn("home", F.coalesce(F.col("home_p") == F.col("p"), F.lit(False)))
+        fresh_cells = rooted(placed.select(F.xxhash64("region", "p").alias("region"), "node", "home", "d"))
+        if cells is not None:
+            left = cells.drop("root").hint("merge").join(asking.select("region", F.col("p").alias("node")), ["region", "node"], "left_anti")
+            fresh_cells = fresh_cells.unionByName(rooted(left))
+        cells = _open_cells(fresh_cells)
+        plain = _open_plain(rooted(rest.hint("merge").join(sketches.select("node", "n", "rare"), "node")), percent)
+        if cells.isEmpty() and plain.isEmpty():
+            return labels
         wide *= 8
-    tagged = staged(docs.where("shared").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).select("doc_id", "n", "root"), "classes")
-    least = staged(tagged.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    joined = tagged.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = docs.where("not shared").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return alone.unionByName(joined)
+        pivots = _drawn(plain, wide).select("region", F.col("node").alias("p"))
+        asking = _drawn(cells.where("not home"), wide).select("region", F.col("node").alias("p"), F.col("d").alias("dp"), F.col("root").alias("rp"))
+        pivots, asking, plain = staged(pivots, "pivots"), staged(asking, "asking"), plain.select("region", "node")
+
+
+def _open_cells(cells: DataFrame) -> DataFrame:
+    """The cells' home nodes are of one class; boundary nodes of that class are done, and so is a cell without home or without boundary."""
+    cells = staged(cells.select("region", "node", "home", "d", "root"), "cells")
+    of = cells.where("home").groupBy("region").agg(F.min("root").alias("class"), F.max("d").alias("reach"))
+    left = cells.hint("merge").join(of, "region").where(F.col("home") | (F.col("root") != F.col("class")))
+    asked = left.where("not home").select("region").distinct()
+    return staged(left.hint("merge").join(asked, "region", "left_semi").select("region", "node", "home", "d", "root"), "cells")
+
+
+def _open_plain(rows: DataFrame, percent: int) -> DataFrame:
+    """Plain regions of two classes, less nodes that hold so much of their own that no node of the region is within the threshold."""
+    spare = ((100 + percent) * F.col("rare") - (100 - percent) * F.col("n")).cast("long")  # two can be linked if theirs add up to 0 at most
+    rows = staged(rows.select("region", "node", "root", spare.alias("spare")), "rest")
+    of = rows.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("spare").alias("least")).where("lo <> hi and least <= 0")
+    return staged(rows.hint("merge").join(of, "region").where(F.col("spare") + F.col("least") <= 0).select("region", "node", "root"), "plain")
+
+
+def _drawn(rows: DataFrame, wide: int) -> DataFrame:
+    """About `wide` nodes of each region, by a threshold of the hash that a node is, and the least one: no region is sorted."""
+    of = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("node").alias("first"))
+    picked = (F.col("node") / 2.0**64 + 0.5) * F.col("m") < wide
+    return rows.hint("merge").join(of, "region").where(picked | (F.col("node") == F.col("first")))
