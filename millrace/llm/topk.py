@@ -1,9 +1,10 @@
 """Exact top-k search by inner product.
 
-Vectors are laid out in blocks of rows; queries are the rows that a predicate selects. Blocks are dealt into shards, every query tile
-is sent to every shard, and each (tile, block) pair is one matrix product followed by a partial selection of its k best. A task keeps a
-running list per tile over the blocks of its shard; lists then merge in a tree whose fan-in is bounded, first within groups of shards,
-last per query. No task holds more than a tile, a block and the lists of `open_tiles` tiles.
+Vectors are laid out in blocks of rows; queries are the rows that a predicate selects. Query tiles are dealt into groups of bounded size
+and blocks into shards; a cell of this grid is one group of tiles, held in memory, that the blocks of one shard stream past. Each
+(tile, block) pair is one matrix product followed by a partial selection of its k best. There are as many shards as keep the cluster busy, so
+tiles are sent as often as there are shards, and blocks as often as there are groups, however many rows there are in a shard. A task keeps
+a running list per tile; lists then merge in a tree whose fan-in is bounded, first within groups of cells, last per query.
 
 Scores are exact: a product runs in float32 or float64 only where every partial sum is an integer that the type holds exactly, and in
 Python integers otherwise; a score beyond a signed 64-bit integer is set to the nearest one that fits.
@@ -20,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import staged
+from .shared import staged, text_bytes
 
 BLOCK_ROWS = 1024
+#: Bytes of query tiles that a cell holds.
+GROUP_BYTES = 128 << 20
 MERGE_FAN_IN = 64
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -193,10 +196,11 @@ def _packed(rows: int):
     return run
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, block_rows: int = BLOCK_ROWS, shard_blocks: int = 64) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, block_rows: int = BLOCK_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: per query row its k highest inner products of floor(scale * x), ties to the smaller id.
 
-    * Vectors that are null, or hold a null or non-finite component, take no part; nor do rows with a null id.
+    * Vectors that are null, or hold a null or non-finite component, take no part; nor do rows with a null id. A component so large that
+      scale times it isn't finite counts as non-finite.
     * A query meets only vectors of its own length; an empty vector scores 0 against every other empty one.
     * Rows are told apart by place: a repeated id or row is a candidate like any other, and a repeated query row gets a list of its own;
       a query never meets its own row.
@@ -204,23 +208,26 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     """
     spark = vectors.sparkSession
     v = F.col(vector_col)
-    sound = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    sound = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
     rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vec"), is_query.alias("is_query"))
     blocks = staged(
         rows.mapInArrow(_blocks(scale, block_rows), "block long, dim int, wide boolean, n int, ids binary, mat binary, asks binary"),
         "topk-blocks",
     )
-    count = blocks.count()
-    shards = max(-(-count // shard_blocks), min(count, 4 * spark.sparkContext.defaultParallelism), 1)
-    base = blocks.select("block", "dim", "wide", "ids", "mat", F.pmod(F.xxhash64("block"), F.lit(shards)).alias("shard"))
     tiles = staged(blocks.where(F.octet_length("asks") > 0).mapInArrow(_packed(block_rows), "tile long, dim int, q_wide boolean, q_ids binary, q_mat binary, q_block binary, q_pos binary"), "topk-tiles")
-    sent = tiles.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-    pairs = base.hint("shuffle_hash").join(sent, ["shard", "dim"])
+    count = blocks.count()
+    groups = max(1, -(-text_bytes(tiles, "q_mat") // group_bytes))
+    shards = max(1, min(count, -(-4 * spark.sparkContext.defaultParallelism // groups)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    base = blocks.select("block", "dim", "wide", "ids", "mat", dealt("block", shards).alias("shard")).withColumn("group", everywhere(groups))
+    sent = tiles.withColumn("group", dealt("tile", groups)).withColumn("shard", everywhere(shards))
+    pairs = base.join(sent.hint("shuffle_hash"), ["shard", "group", "dim"])
     found = pairs.select("tile", "dim", "q_wide", "q_ids", "q_mat", "q_block", "q_pos", "block", "wide", "ids", "mat").mapInArrow(_pairs(k), "tile long, at int, query_id long, vec_id long, score long")
-    groups = shards
-    while groups > MERGE_FAN_IN:  # a tree: lists of some tasks first, then what is left of them
-        groups = -(-groups // MERGE_FAN_IN)
-        found = found.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    lists = shards
+    while lists > MERGE_FAN_IN:  # a tree: lists of some tasks first, then what is left of them
+        lists = -(-lists // MERGE_FAN_IN)
+        found = found.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(lists)))
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy("tile", "at", "g").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).drop("rank", "g")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("tile", "at").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

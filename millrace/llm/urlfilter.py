@@ -3,8 +3,8 @@
 Rules are (host, path, verdict). Their 64-bit xxhash keys are sorted into one array, beside offsets into a blob of the full strings; each
 Python worker memory-maps one file that holds all three. A batch of URLs is turned into candidate keys (host suffixes at label
 boundaries, joined to path prefixes of the lengths that rules have), probed with a vectorised binary search, and every hit is confirmed
-against the stored string, so a collision can't decide. The array is broadcast only while it is within `max_index_bytes`; a longer rule
-list is joined on the host instead, with the same result.
+against the stored string, so a collision can't decide. A rule list beyond `max_index_bytes` is cut by digest into several arrays, which the
+URLs meet one after another; the best rule so far goes along.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import mmap
 import tempfile
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 MAX_INDEX_BYTES = 64 << 20
 
 
@@ -73,28 +76,40 @@ def _suffixes(host: str) -> list[str]:
     return out
 
 
-def _probe(packed, default: str):
+def _probe(packed):
+    """Adds the best rule of one array to rows of page_id, host, path and the best so far (rule_host, rule_path, verdict; null where none)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw_hosts, raw_rules, verdicts = packed.value
         hosts, rules = DigestArray(raw_hosts), DigestArray(raw_rules)
         lengths = [int(x) for x in rules.lengths]
         for batch in batches:
-            host, path = batch.column("host").to_pylist(), batch.column("path").to_pylist()
+            host, path, *held = (batch.column(c).to_pylist() for c in ("host", "path", "rule_host", "rule_path", "verdict"))
             flat = [(i, s) for i, h in enumerate(host) for s in _suffixes(h)]
             keep = hosts.find([s.encode() for _, s in flat]) if flat else []
             asks = [(i, s, path[i][:n]) for (i, s), ok in zip(flat, keep, strict=True) if ok for n in lengths if n <= len(path[i])]
             hits = rules.find([_key(s, p) for _, s, p in asks]) if asks else []
-            best: dict[int, tuple] = {}
+            rank = lambda s, p: (len(s) + len(p), len(s))
+            best = list(zip(*held, strict=True))
             for (i, s, p), ok in zip(asks, hits, strict=True):
-                if ok and (i not in best or (len(s) + len(p), len(s)) > best[i][0]):
-                    best[i] = ((len(s) + len(p), len(s)), s, p)
-            rule = [best[i][1] + best[i][2] if i in best else None for i in range(len(host))]
-            verdict = [verdicts[best[i][1], best[i][2]] if i in best else default for i in range(len(host))]
-            yield pa.RecordBatch.from_arrays([*(c for c in batch.columns), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, "rule", "verdict"])
+                if ok and (best[i][0] is None or rank(s, p) > rank(*best[i][:2])):
+                    best[i] = s, p, verdicts[s, p]
+            found = zip(*best, strict=True) if best else ([], [], [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), *(pa.array(c, pa.string()) for c in found)], ["page_id", "host", "path", "rule_host", "rule_path", "verdict"])
 
     return run
 
 
+def _arrays(verdicts: dict, max_index_bytes: int) -> Iterator[tuple[bytes, bytes, dict]]:
+    """(hosts, rules, verdicts) of the rules in order of digest, about max_index_bytes at a time."""
+    order = sorted(verdicts, key=lambda r: (xxhash.xxh64_intdigest(_key(*r)), r))
+    sizes = np.cumsum([24 + 3 * len(_key(*r)) for r in order])
+    part = (sizes // max(1, max_index_bytes)).tolist()
+    for _, some in groupby(zip(part, order, strict=True), key=lambda x: x[0]):
+        held = {r: verdicts[r] for _, r in some}
+        yield DigestArray.pack([h.encode() for h, _ in held], []), DigestArray.pack([_key(h, p) for h, p in held], sorted({len(p) for _, p in held})), held
+
+
 def split_url(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds host and path. Host: after the first :// up to / ? # or the end, A-Z lower-cased; path: from there up to ? # or the end."""
     rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise(F.lit(""))
@@ -113,23 +128,14 @@ def filter_urls(urls: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
     """
     spark: SparkSession = urls.sparkSession
     verdicts = {(h, p): v for h, p, v in rules}
-    split = split_url(urls.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url").select("page_id", "host", "path")
-    raw_rules = DigestArray.pack([_key(h, p) for h, p in verdicts], sorted({len(p) for _, p in verdicts}))
-    raw_hosts = DigestArray.pack([h.encode() for h, _ in verdicts], [])
-    kind = dict(split.dtypes)["page_id"]
-    if len(raw_rules) + len(raw_hosts) > max_index_bytes:
-        return _joined(split, verdicts, default)
-    packed = spark.sparkContext.broadcast((raw_hosts, raw_rules, verdicts))
-    return split.mapInArrow(_probe(packed, default), f"page_id {kind}, host string, path string, rule string, verdict string")
-
-
-def _joined(split: DataFrame, verdicts: dict, default: str) -> DataFrame:
-    """The same by an equi-join on the host, for rule lists beyond the bound of a broadcast. Work is done per distinct (host, path)."""
-    spark = split.sparkSession
-    listed = spark.createDataFrame([(h, p, v) for (h, p), v in verdicts.items()], "r_host string, r_path string, r_verdict string")
-    places = split.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    parts = places.withColumn("r_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    hits = parts.join(listed, "r_host").where(F.expr("startswith(path, r_path)"))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(F.concat("r_host", "r_path")), F.length("r_host"), F.concat("r_host", "r_path").alias("rule"), "r_verdict")).alias("b"))
-    return split.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.r_verdict", F.lit(default)).alias("verdict"))
+    none = F.lit(None).cast("string")
+    found = split_url(urls.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url").select("page_id", "host", "path", none.alias("rule_host"), none.alias("rule_path"), none.alias("verdict"))
+    schema = f"page_id {dict(found.dtypes)['page_id']}, host string, path string, rule_host string, rule_path string, verdict string"
+    arrays = list(_arrays(verdicts, max_index_bytes))
+    for array in arrays:
+        packed = spark.sparkContext.broadcast(array)
+        found = found.mapInArrow(_probe(packed), schema)
+        if len(arrays) > 1:  # so that one array at a time is in memory
+            found = staged(found, "urls")
+            packed.destroy()
+    return found.select("page_id", "host", "path", F.concat("rule_host", "rule_path").alias("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"))

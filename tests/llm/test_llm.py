@@ -77,7 +77,7 @@ def test_topk(spark):
     rows = [(i, rng.integers(-3, 3, 4).astype(float).tolist()) for i in range(120)] + [(0, [1.0] * 4), (50, None), (100, [1.0, None, 1.0, 1.0]), (150, [float("nan")] * 4), (200, [1e30] * 4), (250, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0, block_rows=16, shard_blocks=2).orderBy("rank").collect():
+    for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0, block_rows=16).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
     good = [(j, i, [int(np.floor(256 * x)) for x in v]) for j, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = {}
@@ -93,7 +93,7 @@ def test_urls(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = urlfilter.filter_urls(df, queries.RULES).orderBy("page_id").collect()
     assert [r.verdict for r in got] == ["allow", "block", "allow", "block", "allow", "allow", "allow", "block", "allow", "allow"]
-    assert got == urlfilter.filter_urls(df, queries.RULES, max_index_bytes=0).orderBy("page_id").collect()
+    assert got == urlfilter.filter_urls(df, queries.RULES, max_index_bytes=1).orderBy("page_id").collect()
     index = urlfilter.DigestArray(urlfilter.DigestArray.pack([b"a", b"b"], [1]))
     index.keys  # noqa: B018
     assert index.find([b"a", b"c"]).tolist() == [True, False]
@@ -140,8 +140,11 @@ def test_packing(spark):
 
 def test_lines(spark):
     rows = [(i, f"common line of all pages\nviews {i} times on this site today\nonly {words(random.Random(i), 6)}\n\nend", "en") for i in range(8)] + ODD
-    got = {r.doc_id: r for r in templates.dedup_lines(frame(spark, rows)).collect() if r.doc_id is not None}
-    assert got[0].text == rows[0][1] and got[3].text.startswith("only") and got[3].n_dropped == 3 if 3 not in {r[0] for r in ODD} else True
+    found = templates.dedup_lines(frame(spark, rows)).collect()
+    got = {r.doc_id: r for r in found if r.doc_id is not None}
+    assert got[0].text == rows[0][1] and got[0].n_dropped == 0
+    three = next(r for r in found if r.doc_id == 3 and r.n_lines == 5)
+    assert three.text.startswith("only") and three.n_dropped == 3
     assert got[7].text.startswith("only") and got[7].n_dropped == 3 and got[7].n_lines == 5
     assert templates.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
@@ -170,8 +173,7 @@ def test_quality(spark, docs):
     trusted = spark.createDataFrame([(i,) for i, _, _ in docs[::2]], "doc_id long")
     got = {r.doc_id: r for r in perplexity.classify(frame(spark, rows), trusted).collect()}
     assert not any(got[1000 + i].keep for i in range(5)) and sum(got[i].keep for i, _, _ in docs[4:]) >= len(docs) - 6
-    total = sum(c for _, c in [(0, 1)])
-    assert total and got[1001].perplexity > 4 * got[40].perplexity
+    assert got[1001].perplexity > 4 * got[40].perplexity
 
 
 def test_quality_threshold_is_a_quantile_of_held_out_texts(spark):
