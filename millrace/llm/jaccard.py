@@ -15,7 +15,7 @@ are a block. The pivots of the first round are the texts of least hash of each b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .kernels import mix, shingles
 from .roundtrip import NULL_ID, Doc, round_trip, units
-from .shared import release, staged
+from .shared import Scratch, release, staged
 
+Staged = Callable[[DataFrame, str], DataFrame]
 WORDS, PERCENT = 5, 75
 #: Bits of a sketch; more exclude more pairs of long texts, none excludes a pair within the threshold.
 SKETCH = 512
@@ -214,7 +215,8 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
     with a cell of what is at home with it. A cell (region, node, home, d) asks for links between its home and its boundary nodes only;
     boundary nodes become pivots and meet the home ones. Nodes of one class needn't meet. A region without two classes is closed.
     """
-    radius = 1 - percent / 100
+    radius, scratch = 1 - percent / 100, Scratch(texts.sparkSession)
+    staged = scratch.staged
     nodes = texts.select("node", "n", "shingles")
     sketches = staged(texts.select("node", "n", "rare", *LANES), "sketches")
     of_pivot = sketches.select(F.col("node").alias("p"), *[F.col(c).alias(f"{c}_p") for c in ("n", "rare", *LANES)])
@@ -256,9 +258,10 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
         if cells is not None:
             left = cells.drop("root").hint("merge").join(asking.select("region", F.col("p").alias("node")), ["region", "node"], "left_anti")
             fresh_cells = fresh_cells.unionByName(rooted(left))
-        cells = _open_cells(fresh_cells)
-        plain = _open_plain(rooted(rest.hint("merge").join(sketches.select("node", "n", "rare"), "node")), percent)
+        cells = _open_cells(fresh_cells, staged)
+        plain = _open_plain(rooted(rest.hint("merge").join(sketches.select("node", "n", "rare"), "node")), percent, staged)
         if cells.isEmpty() and plain.isEmpty():
+            scratch.drop()
             return labels
         wide *= 8
         pivots = _drawn(plain, wide).select("region", F.col("node").alias("p"))
@@ -266,7 +269,7 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
         pivots, asking, plain = staged(pivots, "pivots"), staged(asking, "asking"), plain.select("region", "node")
 
 
-def _open_cells(cells: DataFrame) -> DataFrame:
+def _open_cells(cells: DataFrame, staged: Staged) -> DataFrame:
     """The cells' home nodes are of one class; boundary nodes of that class are done, and so is a cell without home or without boundary."""
     cells = staged(cells.select("region", "node", "home", "d", "root"), "cells")
     of = cells.where("home").groupBy("region").agg(F.min("root").alias("class"), F.max("d").alias("reach"))
@@ -275,7 +278,7 @@ def _open_cells(cells: DataFrame) -> DataFrame:
     return staged(left.hint("merge").join(asked, "region", "left_semi").select("region", "node", "home", "d", "root"), "cells")
 
 
-def _open_plain(rows: DataFrame, percent: int) -> DataFrame:
+def _open_plain(rows: DataFrame, percent: int, staged: Staged) -> DataFrame:
     """Plain regions of two classes, less nodes that hold so much of their own that no node of the region is within the threshold."""
     spare = ((100 + percent) * F.col("rare") - (100 - percent) * F.col("n")).cast("long")  # two can be linked if theirs add up to 0 at most
     rows = staged(rows.select("region", "node", "root", spare.alias("spare")), "rest")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import staged, unused
 
 DEPTH, MAX_BRANCH, MIN_DOCS, MIN_CONSTANT = 3, 4, 5, 0.6
 #: White space within a line, and a token that holds a digit.
@@ -54,11 +54,11 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     many = known.select("template", "doc_id").distinct().groupBy("template").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
     drops = known.join(staged(many.select("template", "first"), "dropped"), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     per_row = staged(drops.select("row", "pos").distinct().groupBy("row").agg(F.collect_list("pos").alias("drops")), "drops")
-    given = documents.withColumn("__row", row)
-    joined = given.join(per_row.withColumnRenamed("row", "__row").withColumnRenamed("drops", "__drops").hint("merge"), "__row", "left")
+    given, (key, cut) = documents, (unused(documents, "__row"), unused(documents, "__drops"))
+    joined = given.withColumn(key, row).join(per_row.withColumnsRenamed({"row": key, "drops": cut}).hint("merge"), key, "left")
     split = F.split(F.col(text_col), "\n")
-    rest = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__drops", i)), "\n")
-    text = F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(rest)
-    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)), "n_dropped": F.coalesce(F.size("__drops"), F.lit(0))}
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), cut)  # hashed, so a text may lose many lines
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)), "n_dropped": F.coalesce(F.size(cut), F.lit(0))}
     keep = [c for c in documents.columns if c not in counts and c != text_col]
     return joined.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in documents.columns if c in keep or c == text_col], *(v.alias(n) for n, v in counts.items()))
