@@ -16,17 +16,21 @@ are a block. The pivots of the first round are the texts of least hash of each b
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .kernels import mix, shingles
 from .roundtrip import NULL_ID, Doc, round_trip, units
 from .shared import Scratch, release, staged
 
+#: Pivots of a region from which on classes are brought up to date in every round.
+LARGE = 4096
 Staged = Callable[[DataFrame, str], DataFrame]
 WORDS, PERCENT = 5, 75
 #: Bits of a sketch; more exclude more pairs of long texts, none excludes a pair within the threshold.
@@ -175,6 +179,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both").cast("long") >= percent * union).alias("linked"))
 
 
+#: What a row of a region has of its node, and of the pivot that it meets.
+OF = ["node", "n", "rare", *LANES]
+OF_PIVOT = {c: f"{c}_p" for c in OF}
+
+
 def _within(percent: int, times: int) -> Column:
     """Whether sizes and sketches of a node and a pivot (columns with _p) let them be within `times` (1 or 2) the radius."""
     near = max(0, 100 - times * (100 - percent))  # the least similarity, in percent
@@ -218,76 +227,74 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
     radius, scratch = 1 - percent / 100, Scratch(texts.sparkSession)
     staged = scratch.staged
     nodes = texts.select("node", "n", "shingles")
-    sketches = staged(texts.select("node", "n", "rare", *LANES), "sketches")
-    of_pivot = sketches.select(F.col("node").alias("p"), *[F.col(c).alias(f"{c}_p") for c in ("n", "rare", *LANES)])
-    pair = (F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-    of_pair = lambda known: (F.least("node", "p") == known["a"]) & (F.greatest("node", "p") == known["b"])
     held = texts.select("node", F.explode("blocks").alias("block"))
     leaders = staged(held.groupBy("block").agg(F.min("node").alias("p"), F.count("*").alias("m")).where("m > 1").select("block", "p"), "leaders")
-    plain = staged(held.hint("merge").join(leaders, "block").select(F.col("p").alias("region"), "node").distinct(), "plain")
-    pivots = staged(plain.select("region").distinct().select("region", F.col("region").alias("p")), "pivots")
-    cells = asking = known = links = labels = None
-    wide = 1
+    members = held.hint("merge").join(leaders, "block").select(F.col("p").alias("region"), "node").distinct()
+    plain = staged(members.hint("merge").join(texts.select(*OF), "node").select("region", *OF), "plain")
+    pivots = plain.where("node = region")
+    cells = asking = labels = None
+    distances: list[DataFrame] = []
+    counted, wide = 0, 1
     while True:
         # plain regions: nodes meet their region's pivots where they can be within twice the radius
-        meet = plain.hint("merge").join(pivots, "region").where("node <> p").hint("merge").join(sketches, "node").hint("merge").join(of_pivot, "p").where(_within(percent, 2)).select("region", "node", "p")
-        meet = staged(meet, "meet")
-        pairs = meet.select(*pair)
+        ahead = staged(pivots.select("region", *[F.col(c).alias(n) for c, n in OF_PIVOT.items()]), "pivots")
+        meet = staged(plain.select("region", *OF).hint("merge").join(ahead, "region").where((F.col("node") != F.col("node_p")) & _within(percent, 2)), "meet")
+        pairs = meet.select(*_pair())
         if cells is not None:  # cells: home nodes meet the pivots of the boundary within the windows
-            close = F.abs(F.col("d") - F.col("dp")) <= radius + 1e-9
-            near = cells.where("home").hint("merge").join(asking, "region").where(close & (F.col("root") != F.col("rp"))).hint("merge").join(sketches, "node").hint("merge").join(of_pivot, "p").where(_within(percent, 1))
-            pairs = pairs.unionByName(near.select(*pair))
+            close = F.abs(F.col("d") - F.col("d_p")) <= radius + 1e-9
+            near = cells.where("home").hint("merge").join(asking, "region").where(close & (F.col("root") != F.col("root_p")) & _within(percent, 1))
+            pairs = pairs.unionByName(near.select(*_pair()))
         pairs = pairs.distinct()
-        if known is not None:
+        for known in distances:
             pairs = pairs.hint("merge").join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = staged(_verified(pairs, nodes, percent), "distances")
-        known = fresh if known is None else staged(known.unionByName(fresh), "known")
-        more = fresh.where("linked").select("a", "b")
-        links = more if links is None else staged(links.unionByName(more), "links")
-        labels = components(links)
-        release(texts.sparkSession)
-        rooted = lambda df: df.hint("merge").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: E731, B023
+        distances.append(staged(_verified(pairs, nodes, percent), "distances"))
+        known = reduce(DataFrame.unionByName, distances)
+        if labels is None or wide >= LARGE:  # in between, classes so far do
+            labels, counted = components(known.where("linked").select("a", "b")), len(distances)
+            release(texts.sparkSession)
         # homes, boundaries and the remainder of plain regions
-        far = staged(meet.join(known.hint("merge"), of_pair(known)).where(F.col("d") <= 2 * radius + 1e-9).select("region", "node", "p", "d", "linked"), "windows")
-        nearest = far.where("linked").groupBy("region", "node").agg(F.min(F.struct("d", "p")).alias("at")).select("region", "node", F.col("at.p").alias("home_p"))
-        nearest = staged(nearest, "homes")
-        taken = nearest.select("region", "node").unionByName(pivots.select("region", F.col("p").alias("node")))
-        rest = plain.hint("merge").join(taken, ["region", "node"], "left_anti")
-        placed = far.hint("merge").join(nearest, ["region", "node"], "left").withColumn("home", F.coalesce(F.col("home_p") == F.col("p"), F.lit(False)))
-        fresh_cells = rooted(placed.select(F.xxhash64("region", "p").alias("region"), "node", "home", "d"))
+        far = meet.select("region", *OF, "node_p", *_pair()).hint("merge").join(known, ["a", "b"]).where(F.col("d") <= 2 * radius + 1e-9)
+        nearest = F.min(F.when(F.col("linked"), F.struct("d", "node_p"))).over(Window.partitionBy("region", "node"))
+        far = staged(far.withColumn("at", nearest.node_p).select("region", *OF, "node_p", "d", F.col("at").isNotNull().alias("housed"), F.coalesce(F.col("at") == F.col("node_p"), F.lit(False)).alias("home")), "windows")
+        taken = far.where("housed").select("region", "node").unionByName(ahead.select("region", F.col("node_p").alias("node"))).distinct()
+        rest = plain.hint("merge").join(taken, ["region", "node"], "left_anti").select("region", *OF)
+        new = far.select(F.xxhash64("region", "node_p").alias("region"), *OF, "home", "d")
         if cells is not None:
-            left = cells.drop("root").hint("merge").join(asking.select("region", F.col("p").alias("node")), ["region", "node"], "left_anti")
-            fresh_cells = fresh_cells.unionByName(rooted(left))
-        cells = _open_cells(fresh_cells, staged)
-        plain = _open_plain(rooted(rest.hint("merge").join(sketches.select("node", "n", "rare"), "node")), percent, staged)
+            new = new.unionByName(cells.select(*new.columns).hint("merge").join(asking.select("region", F.col("node_p").alias("node")), ["region", "node"], "left_anti"))
+        rooted = lambda df: df.hint("merge").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: E731, B023
+        cells, plain = _open_cells(rooted(new), staged), _open_plain(rooted(rest), percent, staged)
         if cells.isEmpty() and plain.isEmpty():
+            if counted < len(distances):
+                labels = components(known.where("linked").select("a", "b"))
             scratch.drop()
             return labels
-        wide *= 8
-        pivots = _drawn(plain, wide).select("region", F.col("node").alias("p"))
-        asking = _drawn(cells.where("not home"), wide).select("region", F.col("node").alias("p"), F.col("d").alias("dp"), F.col("root").alias("rp"))
-        pivots, asking, plain = staged(pivots, "pivots"), staged(asking, "asking"), plain.select("region", "node")
+        wide *= 64
+        pivots = _drawn(plain, wide)
+        asking = staged(_drawn(cells.where("not home"), wide).select("region", *[F.col(c).alias(n) for c, n in {**OF_PIVOT, "d": "d_p", "root": "root_p"}.items()]), "asking")
+
+
+def _pair() -> tuple[Column, Column]:
+    return F.least("node", "node_p").alias("a"), F.greatest("node", "node_p").alias("b")
 
 
 def _open_cells(cells: DataFrame, staged: Staged) -> DataFrame:
-    """The cells' home nodes are of one class; boundary nodes of that class are done, and so is a cell without home or without boundary."""
-    cells = staged(cells.select("region", "node", "home", "d", "root"), "cells")
-    of = cells.where("home").groupBy("region").agg(F.min("root").alias("class"), F.max("d").alias("reach"))
-    left = cells.hint("merge").join(of, "region").where(F.col("home") | (F.col("root") != F.col("class")))
-    asked = left.where("not home").select("region").distinct()
-    return staged(left.hint("merge").join(asked, "region", "left_semi").select("region", "node", "home", "d", "root"), "cells")
+    """Cells that still ask, with m and first of their boundaries. Home nodes are of one class; boundary nodes of that class are done, and so is a
+    cell without home or without boundary."""
+    cells = staged(cells, "cells")
+    of = cells.where("home").groupBy("region").agg(F.min("root").alias("class"))
+    left = cells.hint("merge").join(of, "region").where(F.col("home") | (F.col("root") != F.col("class"))).drop("class")
+    edge = left.where("not home").groupBy("region").agg(F.count("*").alias("m"), F.min("node").alias("first"))
+    return staged(left.hint("merge").join(edge, "region"), "cells")
 
 
 def _open_plain(rows: DataFrame, percent: int, staged: Staged) -> DataFrame:
-    """Plain regions of two classes, less nodes that hold so much of their own that no node of the region is within the threshold."""
+    """Plain regions of two classes, with m and first, less nodes that hold so much of their own that no node of the region is within the threshold."""
     spare = ((100 + percent) * F.col("rare") - (100 - percent) * F.col("n")).cast("long")  # two can be linked if theirs add up to 0 at most
-    rows = staged(rows.select("region", "node", "root", spare.alias("spare")), "rest")
-    of = rows.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("spare").alias("least")).where("lo <> hi and least <= 0")
-    return staged(rows.hint("merge").join(of, "region").where(F.col("spare") + F.col("least") <= 0).select("region", "node", "root"), "plain")
+    rows = staged(rows.withColumn("spare", spare), "rest")
+    of = rows.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("spare").alias("least"), F.count("*").alias("m"), F.min_by("node", F.struct("spare", "node")).alias("first"))
+    return staged(rows.hint("merge").join(of.where("lo <> hi and least <= 0"), "region").where(F.col("spare") + F.col("least") <= 0).select("region", *OF, "m", "first"), "plain")
 
 
 def _drawn(rows: DataFrame, wide: int) -> DataFrame:
-    """About `wide` nodes of each region, by a threshold of the hash that a node is, and the least one: no region is sorted."""
-    of = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("node").alias("first"))
-    picked = (F.col("node") / 2.0**64 + 0.5) * F.col("m") < wide
-    return rows.hint("merge").join(of, "region").where(picked | (F.col("node") == F.col("first")))
+    """About `wide` nodes of each region, by a threshold of the hash that a node is, and the first: no region is sorted."""
+    return rows.where(((F.col("node") / 2.0**64 + 0.5) * F.col("m") < wide) | (F.col("node") == F.col("first")))
