@@ -184,12 +184,16 @@ OF = ["node", "n", "rare", *LANES]
 OF_PIVOT = {c: f"{c}_p" for c in OF}
 
 
+def _apart() -> Column:
+    """At least so many shingles are in one of a node and a pivot (columns with _p) only."""
+    return sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"{g}_p"))) for g in LANES), F.col("rare") + F.col("rare_p"))
+
+
 def _within(percent: int, times: int) -> Column:
-    """Whether sizes and sketches of a node and a pivot (columns with _p) let them be within `times` (1 or 2) the radius."""
+    """Whether sizes and sketches of a node and a pivot let them be within `times` (1 or 2) the radius."""
     near = max(0, 100 - times * (100 - percent))  # the least similarity, in percent
     sizes = 100 * F.least("n", "n_p") >= near * F.greatest("n", "n_p")
-    apart = sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"{g}_p"))) for g in LANES), F.col("rare") + F.col("rare_p"))
-    return sizes & ((100 + near) * apart <= (100 - near) * (F.col("n") + F.col("n_p")))
+    return sizes & ((100 + near) * _apart() <= (100 - near) * (F.col("n") + F.col("n_p")))
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -222,7 +226,8 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
 
     Two kinds of regions are open in a round. A plain one (region, node) asks for all links among its nodes; some of them become pivots, each
     with a cell of what is at home with it. A cell (region, node, home, d) asks for links between its home and its boundary nodes only;
-    boundary nodes become pivots and meet the home ones. Nodes of one class needn't meet. A region without two classes is closed.
+    boundary nodes become pivots and meet the home ones. d is the distance to the cell's pivot, of boundary nodes what it is at least: the
+    window d(boundary) <= d(home) + radius then lets some more through, and none less. Nodes of one class needn't meet. A region without two classes is closed.
     """
     radius, scratch = 1 - percent / 100, Scratch(texts.sparkSession)
     staged = scratch.staged
@@ -236,12 +241,14 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
     distances: list[DataFrame] = []
     counted, wide = 0, 1
     while True:
-        # plain regions: nodes meet their region's pivots where they can be within twice the radius
+        # plain regions: nodes meet their region's pivots where they can be within twice the radius, and are read where within once
         ahead = staged(pivots.select("region", *[F.col(c).alias(n) for c, n in OF_PIVOT.items()]), "pivots")
-        meet = staged(plain.select("region", *OF).hint("merge").join(ahead, "region").where((F.col("node") != F.col("node_p")) & _within(percent, 2)), "meet")
-        pairs = meet.select(*_pair())
+        met = plain.select("region", *OF).hint("merge").join(ahead, "region").where((F.col("node") != F.col("node_p")) & _within(percent, 2))
+        least = 2 * _apart() / (F.col("n") + F.col("n_p") + _apart())  # no distance is less
+        meet = staged(met.select("region", *OF, "node_p", *_pair(), least.alias("least"), _within(percent, 1).alias("near")), "meet")
+        pairs = meet.where("near").select("a", "b")
         if cells is not None:  # cells: home nodes meet the pivots of the boundary within the windows
-            close = F.abs(F.col("d") - F.col("d_p")) <= radius + 1e-9
+            close = F.col("d_p") <= F.col("d") + radius + 1e-9
             near = cells.where("home").hint("merge").join(asking, "region").where(close & (F.col("root") != F.col("root_p")) & _within(percent, 1))
             pairs = pairs.unionByName(near.select(*_pair()))
         pairs = pairs.distinct()
@@ -253,9 +260,9 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
             labels, counted = components(known.where("linked").select("a", "b")), len(distances)
             release(texts.sparkSession)
         # homes, boundaries and the remainder of plain regions
-        far = meet.select("region", *OF, "node_p", *_pair()).hint("merge").join(known, ["a", "b"]).where(F.col("d") <= 2 * radius + 1e-9)
-        nearest = F.min(F.when(F.col("linked"), F.struct("d", "node_p"))).over(Window.partitionBy("region", "node"))
-        far = staged(far.withColumn("at", nearest.node_p).select("region", *OF, "node_p", "d", F.col("at").isNotNull().alias("housed"), F.coalesce(F.col("at") == F.col("node_p"), F.lit(False)).alias("home")), "windows")
+        far = meet.hint("merge").join(known.where("linked").select("a", "b", "d"), ["a", "b"], "left")
+        nearest = F.min(F.when(F.col("d").isNotNull(), F.struct("d", "node_p"))).over(Window.partitionBy("region", "node"))
+        far = staged(far.withColumn("at", nearest.node_p).withColumn("d", F.coalesce("d", "least")).select("region", *OF, "node_p", "d", F.col("at").isNotNull().alias("housed"), F.coalesce(F.col("at") == F.col("node_p"), F.lit(False)).alias("home")), "windows")
         taken = far.where("housed").select("region", "node").unionByName(ahead.select("region", F.col("node_p").alias("node"))).distinct()
         rest = plain.hint("merge").join(taken, ["region", "node"], "left_anti").select("region", *OF)
         new = far.select(F.xxhash64("region", "node_p").alias("region"), *OF, "home", "d")
