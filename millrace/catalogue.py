@@ -145,7 +145,7 @@ _ask("stock_closing_day", {"select": ["active"], "time": {"grain": "week", "star
 _ask("history_join", {"select": ["revenue"], "time": {"start": "1997-01-01", "end": "1999-01-01"}, "group_by": ["history.segment"]}, {"segment": ("history.segment", S), "revenue": ("revenue", N)},
      f"WITH h AS (SELECT c_custkey, c_mktsegment AS segment, TIMESTAMP '1990-01-01' AS a, TIMESTAMP '1998-01-01' AS b FROM customer UNION ALL SELECT c_custkey, c_mktsegment || '+', TIMESTAMP '1998-01-01', NULL FROM customer WHERE c_custkey % 3 <> 0) SELECT segment, {R(REV)} AS revenue FROM orders LEFT JOIN h ON o_custkey = c_custkey AND a <= o_orderdate AND (b IS NULL OR b > o_orderdate) WHERE o_orderdate >= '1997-01-01' AND o_orderdate < '1999-01-01' GROUP BY 1")
 _ask("joined_parts", {"parts": [{"select": ["orders"], "group_by": ["customer.key"]}, {"select": ["events"], "group_by": ["customer.key"], "where": [{"id": "event.type", "value": "purchase"}]}], "join": [["customer.key"], ["customer.key"]]}, {"customer": ("key0", B), "orders": ("orders", B), "events": ("events", B), "has_events": ("in1", "boolean")},
-     "SELECT coalesce(a.k, b.k) AS customer, a.n AS orders, b.n AS events, b.k IS NOT NULL AS has_events FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON a.k = b.k")
+     "SELECT coalesce(a.k, b.k) AS customer, coalesce(a.n, 0) AS orders, coalesce(b.n, 0) AS events, b.k IS NOT NULL AS has_events FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON a.k = b.k")
 _ask("lookup_with_misses", {"select": ["documents", "characters"], "group_by": ["document.lang", "label.quality"]}, {"lang": ("document.lang", S), "quality": ("label.quality", B), "documents": ("documents", B), "characters": ("characters", B)}, "SELECT lang, cast(quality AS BIGINT) AS quality, count(*) AS documents, cast(sum(n_chars) AS BIGINT) AS characters FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL")
 
 _ask("plain_child_condition", {"select": ["orders"], "group_by": ["order.status"], "where": [{"id": "lineitem.quantity", "word": "gt", "value": 49}, {"id": "order.price", "word": "gt", "value": 1000}]}, {"status": ("order.status", S), "orders": ("orders", B)},
@@ -199,7 +199,7 @@ _pipe("pipeline_json_window", [{"source": {"relation": "events"}}, {"where": [{"
 _pipe("pipeline_pre_aggregated_join", [{"source": {"relation": "customer"}}, {"join": {"relation": "orders", "pre_aggregate": {"dimensions": ["o_custkey"], "aggregates": {"n": {"fn": "count"}, "status": {"fn": "single_value", "expr": "o_orderstatus"}}}, "on": [{"left": "c_custkey", "right": "o_custkey"}], "type": "left", "select": {"c_custkey": "c_custkey", "n": "n", "status": "status"}}}],
       {"customer": ("c_custkey", B), "n": ("n", B), "status": ("status", S)}, "SELECT c_custkey AS customer, n, status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, CASE WHEN min(o_orderstatus) = max(o_orderstatus) THEN max(o_orderstatus) END AS status FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 _pipe("pipeline_anti_join", [{"source": {"relation": "orders", "columns": ["o_orderkey", "o_custkey"]}}, {"anti_join": {"relation": "lineitem", "on": [{"left": "o_orderkey", "right": "l_orderkey"}], "where": ["l_quantity > 10"]}}], {"o_orderkey": ("o_orderkey", B)}, "SELECT o_orderkey FROM orders WHERE NOT EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 10)")
-_pipe("pipeline_union_explode", [{"union_all": {"branches": [{"relation": "nation", "columns": ["n_name"]}, {"relation": "region", "columns": ["r_name"]}]}}, {"explode": {"column": "n_name", "delimiter": " ", "as": "word"}}, {"group_by": {"dimensions": ["word"], "aggregates": {"n": {"fn": "count"}}}}], {"word": ("word", S), "n": ("n", B)},
+_pipe("pipeline_union_explode", [{"union_all": {"branches": [{"relation": "nation", "columns": ["n_name"]}, {"relation": "region", "columns": ["r_name"]}], "as": ["n_name"]}}, {"explode": {"column": "n_name", "delimiter": " ", "as": "word"}}, {"group_by": {"dimensions": ["word"], "aggregates": {"n": {"fn": "count"}}}}], {"word": ("word", S), "n": ("n", B)},
       "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(x, ' ')) AS word FROM (SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region)) GROUP BY 1")
 _pipe("pipeline_attribution", [{"source": {"relation": "events", "columns": ["event_id", "user_id", "ts", "event_type"]}}, {"where": ["event_type = 'signup'"]}, {"attribution_join": {"relation": "orders", "on": [{"left": "user_id", "right": "o_custkey"}], "base_time": "ts", "attributed_time": "o_orderdate", "lookback": {"unit": "day", "value": 30}, "select": {"event_id": "event_id", "o_orderkey": "o_orderkey"}}}],
       {"event_id": ("event_id", B), "order": ("o_orderkey", B)}, "SELECT event_id, o_orderkey AS \"order\" FROM events LEFT JOIN orders ON user_id = o_custkey AND o_orderdate >= ts AND date_diff('day', ts, o_orderdate) <= 30 WHERE event_type = 'signup'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,10 @@ from ..functions.scalars import date_diff
 from ..functions.words import condition
 
 
-def _on(left: DataFrame, right: DataFrame, on: list[dict]):
+def _on(left: DataFrame, right: DataFrame, on: list[dict], *names: str):
     terms = []
     for o in on:
-        a, b = left[o["left"]], right[o.get("right", o["left"])]
+        a, b = (F.col(f"{names[0]}.{o['left']}"), F.col(f"{names[1]}.{o.get('right', o['left'])}")) if names else (left[o["left"]], right[o.get("right", o["left"])])
         if o.get("transform") == "lower":
             a, b = F.lower(a), F.lower(b)
         if "date_lag" in o:
@@ -51,6 +52,7 @@ def _spine_ends(start, end, max_days: int) -> tuple[date, date]:
 def run_pipeline(spark, relation, steps: list[dict]) -> DataFrame:
     """Each step is a dict with one key. Conditions of where are {"column", "word", "value"} or SQL text."""
     df: DataFrame | None = None
+    grain: set[str] | None = None
     for step in steps:
         (kind, s), *more = step.items()
         if more:
@@ -61,10 +63,10 @@ def run_pipeline(spark, relation, steps: list[dict]) -> DataFrame:
             start, end = _spine_ends(s["start"], s["end"], s.get("max_days", 3660))
             df = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias(s.get("column", "day")))
         elif kind == "union_all":
-            first, *rest = [relation(b["relation"]).select(*b["columns"]) for b in s["branches"]]
-            df = first
-            for other in rest:
-                df = df.union(other)
+            names = s.get("as") or s["branches"][0]["columns"]
+            if any(len(b["columns"]) != len(names) for b in s["branches"]) or "as" not in s and any(b["columns"] != names for b in s["branches"]):
+                raise SemanticError("INVALID_CONFIG", "branches of union_all list the same columns in one order, or `as` names them")
+            df = reduce(DataFrame.unionByName, [relation(b["relation"]).select(*[F.col(c).alias(n) for c, n in zip(b["columns"], names, strict=True)]) for b in s["branches"]])
         elif kind == "select":
             df = df.select(*[F.expr(e).alias(a) for a, e in s["columns"].items()])
         elif kind == "where":
@@ -76,12 +78,18 @@ def run_pipeline(spark, relation, steps: list[dict]) -> DataFrame:
             parts = F.split(s["column"], "\\Q" + s["delimiter"] + "\\E") if "delimiter" in s else F.col(s["column"])
             df = df.select(*[c for c in df.columns if c != s["column"]], F.explode(parts).alias(s["as"]))
         elif kind == "group_by":
-            df = _grouped(df, s)
+            df, grain = _grouped(df, s), set(s["dimensions"])
         elif kind == "join":
             other = relation(s["relation"])
             if "pre_aggregate" in s:
                 other = _grouped(other, s["pre_aggregate"])
-            df = df.join(other, _on(df, other, s["on"]), s.get("type", "inner")).select(*[F.expr(e).alias(a) for a, e in s["select"].items()])
+            elif s.get("require_pre_aggregate"):
+                raise SemanticError("INVALID_CONFIG", "the join needs a pre_aggregate of its right side")
+            if grain is not None and (off := {o["left"] for o in s["on"]} - grain):
+                raise SemanticError("INVALID_CONFIG", f"{sorted(off)} isn't a dimension of the group_by before")
+            # both sides can be named: left.x and right.x
+            df, other = df.alias("left"), other.alias("right")
+            df = df.join(other, _on(df, other, s["on"], "left", "right"), s.get("type", "inner")).select(*[F.expr(e).alias(a) for a, e in s["select"].items()])
         elif kind in ("semi_join", "anti_join", "exclude"):
             other = relation(s["relation"])
             for c in s.get("where", []):
@@ -90,6 +98,8 @@ def run_pipeline(spark, relation, steps: list[dict]) -> DataFrame:
         elif kind == "window":
             for alias, w in s.items():
                 over = " ".join(filter(None, [f"PARTITION BY {', '.join(w['partition_by'])}" if w.get("partition_by") else "", f"ORDER BY {', '.join(w['order_by'])}" if w.get("order_by") else "", w.get("frame", "")]))
+                if unsafe := [x for x in (*w.get("partition_by", []), *w.get("order_by", []), w.get("expr", ""), w.get("frame", "")) if ";" in x or ")" in x.replace("()", "") and x.count("(") != x.count(")")]:
+                    raise SemanticError("INVALID_EXPRESSION_AST", f"{unsafe} isn't one expression")
                 if w["function"] not in ("row_number", "rank", "dense_rank", "lag", "lead", "sum", "avg", "min", "max", "count", "first_value", "last_value"):
                     raise SemanticError("INVALID_EXPRESSION_AST", f"no window function {w['function']}")
                 df = df.withColumn(alias, F.expr(f"{w['function']}({w.get('expr', '')}) OVER ({over})"))
@@ -97,7 +107,10 @@ def run_pipeline(spark, relation, steps: list[dict]) -> DataFrame:
             other = relation(s["relation"])
             day = df[s["spine"]]
             inside = (other[s["valid_from"]] <= day) & (other[s["valid_to"]].isNull() | (other[s["valid_to"]] > day))
-            df = df.join(other, inside).select(day, *[other[c] for c in s["columns"]])
+            if s.get("on"):  # keys that a row of the spine and a state share
+                inside = inside & _on(df, other, s["on"])
+            kept = [df[c] for c in dict.fromkeys([s["spine"], *(o["left"] for o in s.get("on", []))])]
+            df = df.join(other, inside).select(*kept, *[other[c] for c in s["columns"]])
         elif kind == "attribution_join":
             other = relation(s["relation"])
             lag = date_diff(s["lookback"]["unit"], df[s["base_time"]], other[s["attributed_time"]])

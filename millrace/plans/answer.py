@@ -42,7 +42,7 @@ def answer(engine, call: dict) -> Answer:
     out.clock = time.get("clock") or next((c for c in (package.measures[i].clock for i in sorted(read)) if c), None) if time else None
     if time:
         start, end, named = clocks.window(time)
-        partial = "this" in time or bool(time.get("grain") and any(d and clocks.trunc(d, time["grain"]) != d for d in (start, end)))
+        partial = "this" in time or bool(time.get("grain") and any(not clocks.whole(d, time["grain"]) for d in (start, end)))
         out.window = {"start": start, "end": end, "now": time.get("now"), "partial": partial}
         if partial:
             say("PARTIAL_PERIOD")

@@ -8,6 +8,7 @@ periods of a window, whose number is fixed by the window. Windows over a series
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 from dataclasses import replace
 from functools import reduce
@@ -46,12 +47,15 @@ class Engine:
             return self._joined(call)
         if unknown := set(call) - KEYS:
             raise SemanticError("INVALID_QUERY", f"unknown keys {sorted(unknown)}", allowed=sorted(KEYS))
+        clocks.check(call.get("time") or {})
+        if call.get("observation_scope", "dataset") not in ("dataset", "query"):
+            raise SemanticError("INVALID_QUERY", f"no observation scope {call['observation_scope']}", allowed=["dataset", "query"])
         check_names(self.package, call.get("select", []))
         items = [self._item(x) for x in call.get("select", [])]
         aliases = [a for a, _ in items]
         if self.package.constraints:
             read = {i for _, e in items for i in ids_of(e)} | {x if isinstance(x, str) else x.get("id") for x in call.get("select", [])}
-            while more := {i for n in read & set(self.package.metrics) for i in ids_of(self._named(n))} - read:
+            while more := ({i for n in read & set(self.package.metrics) for i in ids_of(self._named(n))} | {i for n in read for i in self._sources(n)}) - read:
                 read |= more
             check_constraints(self.package, call, read)
         if len(set(aliases + call.get("group_by", []))) < len(aliases) + len(call.get("group_by", [])):
@@ -61,6 +65,9 @@ class Engine:
         if not items:
             return self._ordered(self._listing(call), call, [])
         call = self._keyed(call)
+        shown = {*aliases, *call.get("group_by", []), "period"}
+        extra = list(dict.fromkeys(c["id"] for c in call.get("having", []) if c["id"] not in shown))
+        items += [(n, self._named(n)) for n in extra]  # read for having, not shown
         df = self._level(call, items)
         for k in range(len(call.get("group_by", [])) - 1, -1, -1) if call.get("totals") else ():
             dropped = call["group_by"][k:]
@@ -70,7 +77,7 @@ class Engine:
             df = df.unionByName(part.withColumn("total_over", F.lit(",".join(dropped))), allowMissingColumns=True)
         for c in call.get("having", []):
             df = df.where(condition(F.col(f"`{c['id']}`"), c.get("word", "is"), c["value"]))
-        return self._ordered(df, call, aliases)
+        return self._ordered(df.drop(*extra), call, aliases)
 
     def _keyed(self, call: dict) -> dict:
         """Names with a key are grouped by the key too, so that namesakes stay apart."""
@@ -87,6 +94,7 @@ class Engine:
             names = {x if isinstance(x, str) else x.get("id")}
             for n in _walk(e, self):
                 names |= {n.get("id"), *(n[k].get("id") for k in ("base", "converted") if k in n)}
+            names |= {i for n in list(names) for i in self._sources(n)}
             if held := names & set(self.package.withheld):
                 found[alias] = held
         if not found:
@@ -102,9 +110,17 @@ class Engine:
             return x, self._named(x)
         return x.get("as") or x["id"], {**self._named(x["id"]), **{k: v for k, v in x.items() if k not in ("id", "as")}} if "id" in x else x["expr"]
 
+    def _sources(self, name: str | None) -> list[str]:
+        """The measures that a lookup measure comes down to."""
+        m = self.package.measures.get(name or "")
+        return [m.lookup[1], *self._sources(m.lookup[1])] if m and m.lookup else []
+
+    def _open(self, name: str) -> None:
+        if closed := {name, *self._sources(name)} & self.package.denied:
+            raise SemanticError("POLICY_DENIED", f"{name} isn't open", reads=sorted(closed))
+
     def _named(self, name: str) -> dict:
-        if name in self.package.denied:
-            raise SemanticError("POLICY_DENIED", f"{name} isn't open")
+        self._open(name)
         if name in self.package.measures:
             return {"kind": "measure", "id": name}
         if name in self.package.metrics:
@@ -117,7 +133,7 @@ class Engine:
         if bad := [o for o, _ in order if o not in df.columns]:
             raise SemanticError("INVALID_ORDER_BY", f"{bad} isn't a column of the result")
         if not order and not call.get("limit"):
-            return df
+            return df.orderBy("period", *[F.col(f"`{g}`") for g in call.get("group_by", []) if g in df.columns]) if "period" in df.columns else df
         rest = [(g, False) for g in (*call.get("group_by", []), "period") if g in df.columns and g not in dict(order)]
         by = [F.col(f"`{o}`").desc_nulls_last() if desc else F.col(f"`{o}`").asc_nulls_last() for o, desc in order + rest]
         df = df.orderBy(*by)
@@ -161,8 +177,14 @@ class Engine:
             raise SemanticError("WINDOW_TOTAL_UNSUPPORTED", "a look-back needs a grain")
         if kinds & WINDOWED and (time.get("start") or "last" in time or "this" in time):
             raise SemanticError("WINDOWED_TIME_FILTER_UNSUPPORTED", "a window's start would cut the look-back; filter the result by having")
+        if kinds & WINDOWED and (cut := sorted(c["id"] for c in call.get("where", []) if "id" in c and self._temporal(c["id"]))):
+            raise SemanticError("WINDOWED_TIME_FILTER_UNSUPPORTED", f"a filter on {cut} would cut the look-back; filter the result by having")
         reads: dict[str, dict] = {}
         exprs = [(alias, self._lift(e, reads)) for alias, e in items]
+        if time and not time.get("clock"):
+            used = {r.get("clock") or m.clock for r in reads.values() for m in [self.package.measures.get(r.get("id") or r.get("input", {}).get("id", ""))] if m and (r.get("clock") or m.clock)}
+            if len(used) > 1:
+                raise SemanticError("MIXED_TIME_ROLES", "state a clock: the measures are dated by different ones", options=sorted(used))
         keys = [*groups, *(["period"] if grain else [])]
         df = self._combine([self._leaf(n, r, call) for n, r in self._folded(reads)], keys)
         start, end, named = clocks.window(time) if time else (None, None, False)
@@ -176,6 +198,11 @@ class Engine:
         out = df.select(*[F.col(f"`{k}`") for k in keys], *[self._value(e, ctx).alias(a) for a, e in exprs])
         return out
 
+    def _temporal(self, dimension: str) -> bool:
+        """Whether a dimension reads a column that dates rows."""
+        d = self.package.dimensions.get(dimension)
+        return d is not None and any(c.entity == d.entity and re.search(rf"\b{re.escape(c.column)}\b", d.expr) for c in self.package.clocks.values())
+
     def _lift(self, e: dict, reads: dict) -> dict:
         """Replaces what is read from data by the column that will hold it."""
         kind = e["kind"]
@@ -256,16 +283,19 @@ class Engine:
             reader.period = time["grain"], F.date_trunc(time["grain"], F.col(at)).cast("date")
         if at and capped:
             reader.df = self._capped(reader.df, F.col(at), m.entity, call)
-        reader.where([*call.get("where", []), *source.get("where", [])])
+        asked = [*call.get("where", []), *source.get("where", [])]
+        dated = [c for c in asked if "id" in c and self._temporal(c["id"])] if m.stock is not None else asked
+        reader.where(dated)
         start, end, _ = clocks.window(time) if time else (None, None, False)
         if start:
             reader.df = reader.df.where(F.col(at) >= F.lit(start.isoformat()).cast("timestamp_ntz"))
         if end:
             reader.df = reader.df.where(F.col(at) < F.lit(end.isoformat()).cast("timestamp_ntz"))
         bucket = F.date_trunc(time["grain"], F.col(at)).cast("date") if time.get("grain") else None
-        cols, fan = self._group_columns(reader, groups, m)
-        if m.stock is not None:
+        if m.stock is not None:  # the snapshot is chosen on the clock alone; other filters read what it holds
             reader.df = snapshot(reader.df, m, m.entity, F.col(at), bucket, r.get("agg", m.agg) != "first_value")
+            reader.where([c for c in asked if c not in dated])
+        cols, fan = self._group_columns(reader, groups, m)
         keys = [c.alias(g) for g, c in cols.items()] + ([bucket.alias("period")] if bucket is not None else [])
         if r["kind"] == "distribution":
             return self._distribution(reader, names[0], r, m, keys)
@@ -312,7 +342,7 @@ class Engine:
             if any(x.get("agg", m.agg) != m.agg or m.agg not in ("sum", "count") or not m.additive or m.stock is not None or m.lookup for x, m in zip(specs, measures, strict=True)):
                 continue
             clocked = {time.get("clock") or x.get("clock") or m.clock for x, m in zip(specs, measures, strict=True)} == {held.clock}
-            whole = held.grain and all(d is None or clocks.trunc(d, held.grain) == d for d in (start, end))
+            whole = held.grain and all(clocks.whole(d, held.grain) for d in (start, end))
             if not time or clocked and whole and time.get("grain", held.grain) in clocks.COARSER[held.grain]:
                 return held
         return None
@@ -467,8 +497,7 @@ class Engine:
         return per.groupBy(*[F.col(f"`{c}`") for c in by]).agg(statistic(r["agg"], F.col("__v"), p=r.get("p")).alias(name), F.count("__v").alias(f"{name}n"))
 
     def _measure(self, name: str) -> Measure:
-        if name in self.package.denied:
-            raise SemanticError("POLICY_DENIED", f"{name} isn't open")
+        self._open(name)
         if name not in self.package.measures:
             raise SemanticError("OBJECT_NOT_FOUND", f"no measure {name}")
         return self.package.measures[name]
@@ -510,6 +539,8 @@ class Engine:
                 marks.append((n, whole.agg(F.count(held.measures[r["id"]]).alias(f"{n}seen"), *([F.min(t).alias(f"{n}lo"), F.max(t).alias(f"{n}hi")] if grain else []))))
                 continue
             reader = Reader(self.package, self.relation, m.entity, call.get("routes"))
+            if call.get("observation_scope") == "query":  # data is what the call's own filters leave; else the whole table
+                reader.where([c for c in call.get("where", []) if "over" not in c])
             value = reader.column(m.entity, m.expr)
             ends = [F.count(value).alias(f"{n}seen")]
             clock_name, now = (call.get("time") or {}).get("clock") or r.get("clock") or m.clock, (call.get("time") or {}).get("now")
@@ -599,18 +630,74 @@ class Engine:
     # -- joined calls ---------------------------------------------------------------------------------------------------------------------
 
     def _joined(self, call: dict) -> DataFrame:
-        """Results of several calls side by side on equal, known keys; `keep` names the parts whose keys stay (all by default)."""
-        frames = [self.query(p) for p in call["parts"]]
+        """Results of several calls side by side on equal, known keys; `keep` names the parts whose keys stay (all by default).
+
+        Each part is settled over the known keys of all parts: where a part has no rows for a key, its sums and counts are what the part says of
+        a group without rows. Rows with an unknown key meet none and stay on their own.
+        """
+        parts, join = call["parts"], call.get("join") or []
+        if unknown := set(call) - {"parts", "join", "keep"}:
+            raise SemanticError("INVALID_QUERY", f"unknown keys {sorted(unknown)} of a joined call", allowed=["join", "keep", "parts"])
+        if len(parts) < 2 or len(join) != len(parts) or not join[0] or len({len(k) for k in join}) > 1:
+            raise SemanticError("INVALID_QUERY", "a joined call needs two parts, and as many keys of each")
         keep = call.get("keep", "all")
-        named = []
-        for i, (df, keys) in enumerate(zip(frames, call["join"], strict=True)):
-            on = [F.col(f"`{k}`").alias(f"key{j}") for j, k in enumerate(keys)]
-            named.append(df.select(*on, *[F.col(f"`{c}`") for c in df.columns if c not in keys], F.lit(True).alias(f"in{i}")))
-        names = [f"key{j}" for j in range(len(call["join"][0]))]
+        if keep != "all" and (not isinstance(keep, list) or not set(keep) <= set(range(len(parts)))):
+            raise SemanticError("INVALID_QUERY", "keep names parts by their place")
+        for keys, part in zip(join, parts, strict=True):
+            if left := set(keys) - set(part.get("group_by", [])):
+                raise SemanticError("INVALID_QUERY", f"{sorted(left)} isn't grouped by in its part")
+        for j, pairs in enumerate(zip(*join, strict=True)):
+            for other in pairs[1:]:
+                if not self._same_key(pairs[0], other):
+                    raise SemanticError("INVALID_QUERY", f"{pairs[0]} and {other} don't name the same thing", place=j)
+        names = [f"key{j}" for j in range(len(join[0]))]
+        frames = [self.query(p) for p in parts]
+        keyed = [df.withColumnsRenamed(dict(zip(keys, names, strict=True))) for df, keys in zip(frames, join, strict=True)]
+        known = reduce(Column.__and__, [F.col(n).isNotNull() for n in names])
+        domain = reduce(DataFrame.unionByName, [df.where(known).select(*names) for df in keyed]).distinct()
+        named, columns = [], []
+        for i, (df, part, keys) in enumerate(zip(keyed, parts, join, strict=True)):
+            values = [c for c in df.columns if c not in names]
+            own = df.withColumn(f"in{i}", F.lit(True))
+            if set(part.get("group_by", [])) == set(keys) and "period" not in values and not part.get("having") and not part.get("limit"):
+                empty = self._empty_group(part)
+                if empty is not None:
+                    full = domain.join(own.where(known), names, "left").crossJoin(F.broadcast(empty))  # one row
+                    settled = full.select(*names, *[F.when(F.col(f"in{i}").isNull(), F.col(f"__empty_{c}")).otherwise(F.col(f"`{c}`")).alias(c) if f"__empty_{c}" in full.columns else F.col(f"`{c}`") for c in values], f"in{i}")
+                    own = settled.unionByName(own.where(~known))
+            renamed = {c: f"p{i}.{c}" for c in values if c in columns}  # a name that an earlier part has
+            columns += [renamed.get(c, c) for c in values]
+            named.append(own.withColumnsRenamed(renamed))
         out = reduce(lambda a, b: a.join(b, names, "full_outer"), named)
+        flags = {f"in{i}": F.coalesce(F.col(f"in{i}"), F.lit(False)) for i in range(len(parts))}
         if keep != "all":
-            out = out.where(reduce(Column.__and__, [F.col(f"in{i}") for i in keep]))
-        return out.select(*[F.coalesce(F.col(c), F.lit(False)).alias(c) if c.startswith("in") and c[2:].isdigit() else F.col(f"`{c}`") for c in out.columns])
+            out = out.where(reduce(Column.__and__, [flags[f"in{i}"] for i in keep]))
+        self._note("PARTS_JOINED", parts=len(parts), keys=[list(k) for k in join], keep=keep)
+        return out.select(*[flags[c].alias(c) if c in flags else F.col(f"`{c}`") for c in out.columns])
+
+    def _same_key(self, a: str, b: str) -> bool:
+        """Whether two group columns may be joined: one dimension, or columns of one relationship or of the same key."""
+        if a == b:
+            return a != "period"
+        x, y = self.package.dimensions.get(a), self.package.dimensions.get(b)
+        if x is None or y is None:
+            return False
+        ends = lambda d: {(d.entity, d.expr)} | {(r.target, t) for r in self.package.relationships if r.source == d.entity for s, t in r.on if s == d.expr}
+        return bool(ends(x) & ends(y))
+
+    def _empty_group(self, part: dict) -> DataFrame | None:
+        """One row: what the part's settled sums and counts read for a group without rows; none where it has no such column."""
+        names = []
+        for x in part.get("select", []):
+            alias, e = self._item(x)
+            m = self.package.measures.get(e.get("id", ""))
+            if e["kind"] in ("measure", "aggregate_if") and m and m.additive and m.stock is None and not m.lookup and (e["agg"] if e["kind"] == "aggregate_if" else e.get("agg", m.agg)) in ZEROED:
+                names.append(alias)
+        if not names:
+            return None
+        inner = {k: v for k, v in part.items() if k not in ("group_by", "order_by", "limit", "totals")} | {"where": [*part.get("where", [])]}
+        whole = self.query({**inner, "select": [x for x in part["select"] if self._item(x)[0] in names]})  # null only where nothing is known at all
+        return whole.select(*[F.when(F.col(f"`{n}`").isNotNull(), F.lit(0)).alias(f"__empty_{n}") for n in names])
 
 
 def _walk(e: dict, engine: Engine):

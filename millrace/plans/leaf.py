@@ -23,7 +23,7 @@ def statistic(agg: str, value: Column, clock: Column | None = None, p: float | N
     if agg in ("first_value", "last_value"):
         if clock is None:
             raise SemanticError("UNSUPPORTED_AGGREGATION", f"{agg} needs a clock")
-        return (F.min_by if agg == "first_value" else F.max_by)(value, F.when(value.isNotNull(), clock))
+        return _by_clock(agg, value, clock)
     if agg == "percentile":
         if p is None or not 0 <= p <= 1:
             raise SemanticError("UNSUPPORTED_AGGREGATION", "percentile needs p between 0 and 1")
@@ -35,6 +35,12 @@ def statistic(agg: str, value: Column, clock: Column | None = None, p: float | N
     return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "median": F.median}[agg](value)
 
 
+def _by_clock(agg: str, value: Column, clock: Column) -> Column:
+    """The first or last known value; of one instant's, the least or greatest, whatever the order of rows."""
+    at = F.when(value.isNotNull() & clock.isNotNull(), F.struct(clock.alias("t"), value.alias("v")))
+    return (F.min if agg == "first_value" else F.max)(at).v
+
+
 class Reader:
     """Rows of an entity with other entities' columns beside them; every entity is joined once, under its own prefix."""
 
@@ -173,8 +179,13 @@ class Reader:
         """Entities whose statistic meets a threshold. One that 0 meets also takes entities without rows: all but the failing ones.
         over: "all_time", a window, or "period" (each row is judged by its entity's rows of the same period of the call's series, as many
         more periods before it as `rolling` says). context: dimensions whose values are judged apart, unknown ones together."""
-        if c["having"]["id"] in self.package.denied or c["having"]["id"] in self.package.withheld:
-            raise SemanticError("POLICY_DENIED", f"{c['having']['id']} isn't open")
+        name = c["having"]["id"]
+        while name:  # also what a lookup measure comes down to
+            if name in self.package.denied or name in self.package.withheld:
+                raise SemanticError("POLICY_DENIED", f"{c['having']['id']} isn't open")
+            if name not in self.package.measures:
+                raise SemanticError("OBJECT_NOT_FOUND", f"no measure {name}")
+            name = (self.package.measures[name].lookup or (None, None))[1]
         m = self.package.measures[c["having"]["id"]]
         inner = Reader(self.package, self.relation, m.entity, self.routes)
         inner.reach(entity)
