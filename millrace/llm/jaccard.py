@@ -29,8 +29,6 @@ from .kernels import mix, shingles
 from .roundtrip import NULL_ID, Doc, round_trip, units
 from .shared import Scratch, release, staged
 
-#: Pivots of a region from which on classes are brought up to date in every round.
-LARGE = 4096
 Staged = Callable[[DataFrame, str], DataFrame]
 WORDS, PERCENT = 5, 75
 #: Bits of a sketch; more exclude more pairs of long texts, none excludes a pair within the threshold.
@@ -239,7 +237,7 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
     pivots = plain.where("node = region")
     cells = asking = labels = None
     distances: list[DataFrame] = []
-    counted, wide = 0, 1
+    wide = 1
     while True:
         # plain regions: nodes meet their region's pivots where they can be within twice the radius, and are read where within once
         ahead = staged(pivots.select("region", *[F.col(c).alias(n) for c, n in OF_PIVOT.items()]), "pivots")
@@ -256,8 +254,8 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
             pairs = pairs.hint("merge").join(known.select("a", "b"), ["a", "b"], "left_anti")
         distances.append(staged(_verified(pairs, nodes, percent), "distances"))
         known = reduce(DataFrame.unionByName, distances)
-        if labels is None or wide >= LARGE:  # in between, classes so far do
-            labels, counted = components(known.where("linked").select("a", "b")), len(distances)
+        if labels is None or not distances[-1].where("linked").isEmpty():  # classes grow, and close regions
+            labels = components(known.where("linked").select("a", "b"))
             release(texts.sparkSession)
         # homes, boundaries and the remainder of plain regions
         far = meet.hint("merge").join(known.where("linked").select("a", "b", "d"), ["a", "b"], "left")
@@ -269,10 +267,8 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
         if cells is not None:
             new = new.unionByName(cells.select(*new.columns).hint("merge").join(asking.select("region", F.col("node_p").alias("node")), ["region", "node"], "left_anti"))
         rooted = lambda df: df.hint("merge").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: E731, B023
-        cells, plain = _open_cells(rooted(new), staged), _open_plain(rooted(rest), percent, staged)
+        cells, plain = _open_cells(rooted(new), radius, staged), _open_plain(rooted(rest), percent, staged)
         if cells.isEmpty() and plain.isEmpty():
-            if counted < len(distances):
-                labels = components(known.where("linked").select("a", "b"))
             scratch.drop()
             return labels
         wide *= 64
@@ -284,12 +280,13 @@ def _pair() -> tuple[Column, Column]:
     return F.least("node", "node_p").alias("a"), F.greatest("node", "node_p").alias("b")
 
 
-def _open_cells(cells: DataFrame, staged: Staged) -> DataFrame:
-    """Cells that still ask, with m and first of their boundaries. Home nodes are of one class; boundary nodes of that class are done, and so is a
-    cell without home or without boundary."""
+def _open_cells(cells: DataFrame, radius: float, staged: Staged) -> DataFrame:
+    """Cells that still ask, with m and first of their boundaries. Home nodes are of one class; boundary nodes of that class are done, as are
+    those beyond the window of the farthest home node, and so is a cell without home or without boundary."""
     cells = staged(cells, "cells")
-    of = cells.where("home").groupBy("region").agg(F.min("root").alias("class"))
-    left = cells.hint("merge").join(of, "region").where(F.col("home") | (F.col("root") != F.col("class"))).drop("class")
+    of = cells.where("home").groupBy("region").agg(F.min("root").alias("class"), F.max("d").alias("reach"))
+    asks = (F.col("root") != F.col("class")) & (F.col("d") <= F.col("reach") + radius + 1e-9)
+    left = cells.hint("merge").join(of, "region").where(F.col("home") | asks).drop("class", "reach")
     edge = left.where("not home").groupBy("region").agg(F.count("*").alias("m"), F.min("node").alias("first"))
     return staged(left.hint("merge").join(edge, "region"), "cells")
 
