@@ -222,8 +222,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 def _joined(texts: DataFrame, percent: int) -> DataFrame:
     """(node, root) of every node that has a link. texts: node, n, blocks, shingles, rare and sketch, one row per node.
 
-    Two kinds of regions are open in a round. A plain one (region, node) asks for all links among its nodes; some of them become pivots, each
-    with a cell of what is at home with it. A cell (region, node, home, d) asks for links between its home and its boundary nodes only;
+    Two kinds of regions are open in a round. A plain one (region, node) asks for all links among its nodes; some of them become pivots, which
+    meet all nodes of the region, and have a cell of what is at home with them. A cell (region, node, home, d) asks for links between its home and its boundary nodes only;
     boundary nodes become pivots and meet the home ones. d is the distance to the cell's pivot, of boundary nodes what it is at least: the
     window d(boundary) <= d(home) + radius then lets some more through, and none less. Nodes of one class needn't meet. A region without two classes is closed.
     """
@@ -239,12 +239,11 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
     distances: list[DataFrame] = []
     wide = 1
     while True:
-        # plain regions: nodes meet their region's pivots where they can be within twice the radius, and are read where within once
+        # plain regions: nodes meet their region's pivots where they can be within the radius
         ahead = staged(pivots.select("region", *[F.col(c).alias(n) for c, n in OF_PIVOT.items()]), "pivots")
-        met = plain.select("region", *OF).hint("merge").join(ahead, "region").where((F.col("node") != F.col("node_p")) & _within(percent, 2))
-        least = 2 * _apart() / (F.col("n") + F.col("n_p") + _apart())  # no distance is less
-        meet = staged(met.select("region", *OF, "node_p", *_pair(), least.alias("least"), _within(percent, 1).alias("near")), "meet")
-        pairs = meet.where("near").select("a", "b")
+        met = plain.select("region", *OF).hint("merge").join(ahead, "region").where((F.col("node") != F.col("node_p")) & _within(percent, 1))
+        meet = staged(met.select("region", "node", "node_p", *_pair()), "meet")
+        pairs = meet.select("a", "b")
         if cells is not None:  # cells: home nodes meet the pivots of the boundary within the windows
             close = F.col("d_p") <= F.col("d") + radius + 1e-9
             near = cells.where("home").hint("merge").join(asking, "region").where(close & (F.col("root") != F.col("root_p")) & _within(percent, 1))
@@ -257,17 +256,27 @@ def _joined(texts: DataFrame, percent: int) -> DataFrame:
         if labels is None or not distances[-1].where("linked").isEmpty():  # classes grow, and close regions
             labels = components(known.where("linked").select("a", "b"))
             release(texts.sparkSession)
-        # homes, boundaries and the remainder of plain regions
-        far = meet.hint("merge").join(known.where("linked").select("a", "b", "d"), ["a", "b"], "left")
-        nearest = F.min(F.when(F.col("d").isNotNull(), F.struct("d", "node_p"))).over(Window.partitionBy("region", "node"))
-        far = staged(far.withColumn("at", nearest.node_p).withColumn("d", F.coalesce("d", "least")).select("region", *OF, "node_p", "d", F.col("at").isNotNull().alias("housed"), F.coalesce(F.col("at") == F.col("node_p"), F.lit(False)).alias("home")), "windows")
-        taken = far.where("housed").select("region", "node").unionByName(ahead.select("region", F.col("node_p").alias("node"))).distinct()
-        rest = plain.hint("merge").join(taken, ["region", "node"], "left_anti").select("region", *OF)
-        new = far.select(F.xxhash64("region", "node_p").alias("region"), *OF, "home", "d")
-        if cells is not None:
-            new = new.unionByName(cells.select(*new.columns).hint("merge").join(asking.select("region", F.col("node_p").alias("node")), ["region", "node"], "left_anti"))
+        # homes: the nearest linked pivot of each node
         rooted = lambda df: df.hint("merge").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: E731, B023
-        cells, plain = _open_cells(rooted(new), radius, staged), _open_plain(rooted(rest), percent, staged)
+        plain = staged(rooted(plain.select("region", *OF)), "rooted")
+        linked = meet.hint("merge").join(known.where("linked").select("a", "b", "d"), ["a", "b"])
+        homes = staged(linked.groupBy("region", "node").agg(F.min(F.struct("d", "node_p")).alias("at")).select("region", "node", "at.d", "at.node_p"), "homes")
+        # boundaries: only now, when the links of this round are known, and only for pivots with a home, from other classes, within the window of
+        # the farthest home node; pivots have met their whole region and are no boundary
+        others = staged(plain.hint("merge").join(ahead.select("region", F.col("node_p").alias("node")), ["region", "node"], "left_anti"), "others")
+        reach = homes.groupBy("region", "node_p").agg(F.max("d").alias("reach"))
+        owners = plain.select("region", F.col("node").alias("node_p"), F.col("root").alias("class"))
+        centres = staged(ahead.hint("merge").join(reach, ["region", "node_p"]).hint("merge").join(owners, ["region", "node_p"]), "centres")
+        apart = 2 * _apart() / (F.col("n") + F.col("n_p") + _apart())  # no distance is less
+        window = (F.col("root") != F.col("class")) & _within(percent, 2) & (apart <= F.col("reach") + radius + 1e-9)
+        edge = others.hint("merge").join(centres, "region").where(window).withColumn("home", F.lit(False)).withColumn("d", apart)
+        cell = lambda df: df.select(F.xxhash64("region", "node_p").alias("region"), *OF, "home", "d", "root")
+        new = cell(edge).unionByName(cell(plain.hint("merge").join(homes, ["region", "node"]).withColumn("home", F.lit(True))))
+        rest = others.hint("merge").join(homes.select("region", "node"), ["region", "node"], "left_anti")
+        if cells is not None:
+            old = cells.select("region", *OF, "home", "d").hint("merge").join(asking.select("region", F.col("node_p").alias("node")), ["region", "node"], "left_anti")
+            new = new.unionByName(rooted(old))
+        cells, plain = _open_cells(new, radius, staged), _open_plain(rest, percent, staged)
         if cells.isEmpty() and plain.isEmpty():
             scratch.drop()
             return labels
