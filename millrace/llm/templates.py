@@ -57,8 +57,9 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     given, (key, cut) = documents, (unused(documents, "__row"), unused(documents, "__drops"))
     joined = given.withColumn(key, row).join(per_row.withColumnsRenamed({"row": key, "drops": cut}).hint("merge"), key, "left")
     split = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), cut)  # hashed, so a text may lose many lines
-    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    left = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s) - 1), cut)  # noqa: E731  hashed, so a text may lose many lines
+    rest = F.transform(F.array(split), lambda s: F.array_join(F.transform(left(s), lambda i: F.get(s, i)), "\n"))[0]  # one array, so that a text is split once and not once a line
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(rest)
     counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)), "n_dropped": F.coalesce(F.size(cut), F.lit(0))}
     keep = [c for c in documents.columns if c not in counts and c != text_col]
     return joined.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in documents.columns if c in keep or c == text_col], *(v.alias(n) for n, v in counts.items()))
