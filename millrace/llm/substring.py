@@ -31,13 +31,12 @@ def boundaries(buf: np.ndarray, least: int = LEAST, bits: int = BITS, most: int
     cuts = np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1
     ends, last = [], 0
     for c in cuts.tolist():
+        while c - last > most:
+            last += most
+            ends.append(last)
         if c - last >= least:
-            while c - last > most:
-                last += most
-                ends.append(last)
-            if c > last:
-                ends.append(c)
-                last = c
+            ends.append(c)
+            last = c
     while len(buf) - last > most:
         last += most
         ends.append(last)
