@@ -8,6 +8,7 @@ loss. A text whose second-best codeword is nearly as close is flagged ambiguous.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,33 +22,40 @@ MAX_LANGUAGES = 512
 #: ASCII letters in lower case and bytes of other characters stay, the rest becomes a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _CHUNK = 128 << 10
+_DECODED = 64
 
 
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of some texts, one row per order and byte; and where each text begins."""
-    folded = [b" ".join(t.translate(_FOLD).split()) for t in texts]
-    buf = np.frombuffer(b"".join(b"    " + t + b" " for t in folded) + b"    ", np.uint8).astype(np.uint32)
-    starts = np.cumsum([0] + [len(t) + 5 for t in folded])
-    out = []
-    value = np.zeros(len(buf), np.uint32)
-    for n in range(1, max(ORDERS) + 1):
-        value = value | np.concatenate([np.zeros(n - 1, np.uint32), buf[: len(buf) - n + 1]]) << np.uint32(8 * (n - 1))
-        if n in ORDERS:
-            out.append((value * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(16))
-    return np.stack(out), starts
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Each text folded, in pieces of at most _CHUNK bytes behind the four bytes (blanks at first) that the n-grams of its first bytes reach."""
+    for i, t in enumerate(texts):
+        folded = b"    " + re.sub(b"  +", b" ", t.translate(_FOLD)).strip(b" ") + b" "
+        for a in range(4, len(folded), _CHUNK):
+            yield i, folded[a - 4 : a + _CHUNK]
 
 
-def _batches(texts: list[bytes]) -> Iterator[list[int]]:
-    held: list[int] = []
+def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Buckets of the n-grams of some pieces, one row per order and byte; where each piece begins, and where the last ends; whose each is."""
+    held: list[tuple[int, bytes]] = []
     size = 0
-    for i, t in enumerate(texts):
-        held.append(i)
-        size += len(t)
+    for piece in _pieces(texts):
+        held.append(piece)
+        size += len(piece[1])
         if size >= _CHUNK:
-            yield held
+            yield _buckets(held)
             held, size = [], 0
     if held:
-        yield held
+        yield _buckets(held)
+
+
+def _buckets(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    buf = np.frombuffer(b"".join(p for _, p in pieces), np.uint8).astype(np.uint32)
+    out = []
+    value = np.zeros(len(buf), np.uint32)
+    for n in range(1, max(ORDERS) + 1):
+        value = value | np.concatenate([np.zeros(n - 1, np.uint32), buf[: len(buf) - n + 1]]) << np.uint32(8 * (n - 1))
+        if n in ORDERS:
+            out.append((value * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(16))
+    return np.stack(out), np.cumsum([0] + [len(p) for _, p in pieces]), [i for i, _ in pieces]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,11 +65,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in set(langs):
             mine = [t.encode() for t, x in zip(texts, langs, strict=True) if x == lang]
             total = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for part in _batches(mine):
-                grams, starts = _grams([mine[i] for i in part])
+            for grams, starts, _ in _grams(mine):
                 inside = np.ones(grams.shape[1], bool)
                 inside[(starts[:-1, None] + np.arange(4)).ravel()] = False
-                inside[starts[-1] :] = False
                 total += np.bincount(grams[:, inside].ravel(), minlength=BUCKETS)
     for lang, total in counts.items():
         at = np.flatnonzero(total)
@@ -115,18 +121,17 @@ def _predict(model, ambiguous_below: float):
             known = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))] if langs else []
             raw = [texts[i].encode() for i in known]
             lang, score, unclear = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            for part in _batches(raw):
-                grams, starts = _grams([raw[i] for i in part])
+            totals = np.zeros((len(raw), code.shape[1]))
+            for grams, starts, owners in _grams(raw):
                 margin = sum(weights[g] for g in grams)
-                first = (starts[:-1, None] + np.arange(4)).ravel()
-                margin[first] = 0
-                totals = np.add.reduceat(margin[: starts[-1]], starts[:-1], axis=0, dtype=np.float64) / len(ORDERS)
-                loss = (np.logaddexp(0.0, -totals[:, None, :] * code[None, :, :]) * worth).sum(2)
+                margin[(starts[:-1, None] + np.arange(4)).ravel()] = 0
+                np.add.at(totals, owners, np.add.reduceat(margin, starts[:-1], axis=0, dtype=np.float64) / len(ORDERS))
+            for a in range(0, len(known), _DECODED):
+                loss = (np.logaddexp(0.0, -totals[a : a + _DECODED, None, :] * code[None, :, :]) * worth).sum(2)
                 likely = np.exp(loss.min(1, keepdims=True) - loss)
                 likely /= likely.sum(1, keepdims=True)
-                for k, i in enumerate(part):
+                for k, at in enumerate(known[a : a + _DECODED]):
                     best = int(loss[k].argmin())
-                    at = known[i]
                     lang[at], score[at], unclear[at] = langs[best], likely[k, best], likely[k, best] < ambiguous_below
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(lang), pa.array(score), pa.array(unclear)], [*names, "lang_pred", "score", "ambiguous"])
