@@ -189,6 +189,41 @@ _ask("expression_kinds", {"select": [{"as": "x", "expr": {"kind": "case", "args"
      {"customer": ("customer.key", B), "x": ("x", N), "urgent": ("urgent", B)}, f"SELECT o_custkey AS customer, {R('CASE WHEN count(*) BETWEEN 1 AND 5 OR count(*) IN (10, 11) THEN ' + REV + '::double / count(*) ELSE nullif(count(*), 7) END')} AS x, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1")
 
 
+#: With measures of texts and days, and a table with a key of two columns.
+TEXTS = replace(
+    PACKAGE, entities=PACKAGE.entities | {"market": Entity("markets", ("nation", "segment"))}, relationships=(*PACKAGE.relationships, Relationship("customer", "market", (("c_nationkey", "nation"), ("c_mktsegment", "segment")))),
+    dimensions=PACKAGE.dimensions | {"market.people": Dimension("market", "people")},
+    measures=PACKAGE.measures | {"name": Measure("customer", "c_name", "min"), "day": Measure("order", "o_orderdate", "max", clock="order.date"), "props": Measure("event", "props", "min", clock="event.ts")},
+)
+DERIVED["markets"] = lambda rel: rel("customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("people"))
+
+
+def _ask_texts(name: str, call: dict, shape: dict[str, tuple[str, str]], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _shaped(Engine(spark, TEXTS, parquet_folder(spark, sf_dir, DERIVED)).query(call), shape)
+    ORACLES[name] = sql
+
+
+_c = lambda alias, name, *args: {"as": alias, "expr": {"kind": "call", "name": name, "args": list(args)}}
+_call = lambda name, *args: _c("", name, *args)["expr"]
+_first, _last = ({"kind": "aggregate", "id": "day", "agg": a} for a in ("min", "max"))
+_ask_texts("composite_key", {"select": ["orders"], "group_by": ["market.people"]}, {"people": ("market.people", B), "orders": ("orders", B)},
+           "SELECT people, count(*) AS orders FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT c_nationkey AS nk, c_mktsegment AS sg, count(*) AS people FROM customer GROUP BY ALL) ON nk = c_nationkey AND sg = c_mktsegment GROUP BY 1")
+_ask_texts("text_calls", {"select": [_c("upper", "UPPER", M("name")), _c("part", "SUBSTRING", M("name"), 2, 4), _c("swapped", "REPLACE", M("name"), "#", "; "), _c("sides", "CONCAT", _call("LEFT", M("name"), 3), "-", _call("LOWER", _call("RIGHT", M("name"), 2))), _c("length", "LENGTH", _call("TRIM", M("name"))), _c("parts", "STRING_SPLIT", M("name"), "#"), _c("number", "CAST", _call("RIGHT", M("name"), 9), "INTEGER")], "group_by": ["customer.segment"]},
+           {"segment": ("customer.segment", S), **{a: (a, S) for a in ("upper", "part", "swapped", "sides", "parts")}, "length": ("length", B), "number": ("number", B)},
+           "SELECT c_mktsegment AS segment, upper(n) AS upper, substring(n, 2, 4) AS part, replace(n, '#', '; ') AS swapped, left(n, 3) || '-' || lower(right(n, 2)) AS sides, length(trim(n)) AS length, cast(string_split(n, '#') AS VARCHAR) AS parts, cast(right(n, 9) AS BIGINT) AS number FROM (SELECT c_mktsegment, min(c_name) AS n FROM customer GROUP BY 1)")
+_ask_texts("date_calls", {"select": [_c("months", "DATE_DIFF", "month", _first, _last), _c("weeks", "DATE_DIFF", "week", _first, _last), _c("quarter", "DATE_TRUNC", "quarter", _last), _c("year", "DATE_PART", "year", _first), {"as": "later", "expr": {"kind": "date_add", "unit": "month", "value": 2, "args": [_first]}}], "group_by": ["customer.key"]},
+           {"customer": ("customer.key", B), "months": ("months", B), "weeks": ("weeks", B), "quarter": ("quarter", D), "year": ("year", B), "later": ("later", D)},
+           "SELECT o_custkey AS customer, date_diff('month', a, b) AS months, date_diff('day', a, b) // 7 AS weeks, cast(date_trunc('quarter', b) AS DATE) AS quarter, year(a) AS year, cast(a + INTERVAL 2 MONTH AS DATE) AS later FROM (SELECT o_custkey, cast(min(o_orderdate) AS DATE) AS a, cast(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1)")
+_ask_texts("json_calls", {"select": [_c("k", "JSON_EXTRACT_STRING", M("props"), "$.k"), _c("none", "JSON_EXTRACT", M("props"), "$.absent")], "group_by": ["event.user"]}, {"user": ("event.user", B), "k": ("k", S), "none": ("none", S)},
+           "SELECT user_id AS user, json_extract_string(min(props), '$.k') AS k, json_extract_string(min(props), '$.absent') AS none FROM events GROUP BY 1")
+_ask("inline_reads", {"select": [{"as": "closing", "expr": {"kind": "semi_additive", "id": "active"}}], "time": {"start": "2024-01-01", "end": "2024-02-01"}, "group_by": ["customer.segment"]}, {"segment": ("customer.segment", S), "closing": ("closing", B)},
+     "WITH u AS (SELECT user_id, cast(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY ALL) SELECT c_mktsegment AS segment, cast(sum(n) FILTER (day = (SELECT max(day) FROM u)) AS BIGINT) AS closing FROM u JOIN customer ON user_id = c_custkey WHERE day = (SELECT max(day) FROM u) GROUP BY 1")
+_ask("window_within_groups", {"select": [_w("cumulative", {"kind": "aggregate", "id": "revenue", "agg": "count"}, partition_by=["customer.segment"])], "time": {"grain": "month"}, "group_by": ["customer.segment"]}, {"period": ("period", D), "segment": ("customer.segment", S), "cumulative": ("cumulative", B)},
+     _MS + "SELECT period, segment, cast(sum(n) OVER (PARTITION BY segment ORDER BY period) AS BIGINT) AS cumulative FROM d")
+_ask("filter_aliases", {"select": ["revenue_null"], "group_by": ["order_null.priority"], "where": [{"id": "order_null.priority", "word": "missing", "value": False}, {"id": "order_null.priority", "word": "!=", "value": "5-LOW"}, {"id": "order_null.priority", "word": "not_ends_with", "value": ["urgent", "HIGH"]}]}, {"priority": ("order_null.priority", S), "revenue": ("revenue_null", N)},
+     f"SELECT o_orderpriority AS priority, {R(REV)} AS revenue FROM orders WHERE o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW') AND NOT regexp_matches(lower(o_orderpriority), '(urgent|high)$') GROUP BY 1")
+
+
 def _pipe(name: str, steps: list[dict], shape: dict[str, tuple[str, str]], sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: _shaped(run_pipeline(spark, parquet_folder(spark, sf_dir, DERIVED), steps), shape)
     ORACLES[name] = sql
@@ -203,6 +238,11 @@ _pipe("pipeline_union_explode", [{"union_all": {"branches": [{"relation": "natio
       "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(x, ' ')) AS word FROM (SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region)) GROUP BY 1")
 _pipe("pipeline_attribution", [{"source": {"relation": "events", "columns": ["event_id", "user_id", "ts", "event_type"]}}, {"where": ["event_type = 'signup'"]}, {"attribution_join": {"relation": "orders", "on": [{"left": "user_id", "right": "o_custkey"}], "base_time": "ts", "attributed_time": "o_orderdate", "lookback": {"unit": "day", "value": 30}, "select": {"event_id": "event_id", "o_orderkey": "o_orderkey"}}}],
       {"event_id": ("event_id", B), "order": ("o_orderkey", B)}, "SELECT event_id, o_orderkey AS \"order\" FROM events LEFT JOIN orders ON user_id = o_custkey AND o_orderdate >= ts AND date_diff('day', ts, o_orderdate) <= 30 WHERE event_type = 'signup'")
+_pipe("pipeline_semi_join", [{"source": {"relation": "orders", "columns": ["o_orderkey", "o_custkey"]}}, {"semi_join": {"relation": "lineitem", "on": [{"left": "o_orderkey", "right": "l_orderkey"}], "where": ["l_quantity > 45"]}}], {"o_orderkey": ("o_orderkey", B)}, "SELECT o_orderkey FROM orders WHERE EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+_pipe("pipeline_date_spine", [{"date_spine": {"start": "1995-01-01", "end": "2005-12-31", "max_days": 5000}}, {"join": {"relation": "orders", "pre_aggregate": {"dimensions": ["o_orderdate"], "aggregates": {"n": {"fn": "count"}}}, "on": [{"left": "day", "right": "o_orderdate"}], "type": "left", "select": {"day": "day", "n": "n"}}}],
+      {"day": ("day", D), "n": ("n", B)}, "SELECT cast(d AS DATE) AS day, n FROM generate_series(DATE '1995-01-01', DATE '2005-12-31', INTERVAL 1 DAY) t(d) LEFT JOIN (SELECT o_orderdate, count(*) AS n FROM orders GROUP BY 1) ON o_orderdate = d")
+_pipe("pipeline_state_as_of", [{"date_spine": {"start": "1997-12-28", "end": "1998-01-03"}}, {"state_as_of": {"relation": "customer_history", "spine": "day", "valid_from": "valid_from", "valid_to": "valid_to", "columns": ["c_custkey", "segment"]}}, {"group_by": {"dimensions": ["day", "segment"], "aggregates": {"n": {"fn": "count"}}}}],
+      {"day": ("day", D), "segment": ("segment", S), "n": ("n", B)}, "WITH h AS (SELECT c_mktsegment AS segment, DATE '1990-01-01' AS a, DATE '1998-01-01' AS b FROM customer UNION ALL SELECT c_mktsegment || '+', DATE '1998-01-01', NULL FROM customer WHERE c_custkey % 3 <> 0) SELECT cast(d AS DATE) AS day, segment, count(*) AS n FROM generate_series(DATE '1997-12-28', DATE '1998-01-03', INTERVAL 1 DAY) t(d) JOIN h ON a <= d AND (b IS NULL OR b > d) GROUP BY ALL")
 
 
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,16 +27,21 @@ def divide(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+def split(text: Column, by: str) -> Column:
+    """Parts between occurrences of a literal text."""
+    return F.split(text, "\\Q" + by + "\\E")
+
+
 _TEXT = lambda c: F.coalesce(c.cast("string"), F.lit(""))
 CALLS = {
     "ABS": F.abs, "CEIL": F.ceil, "CEILING": F.ceil, "FLOOR": F.floor, "EXP": F.exp, "LN": F.ln, "LOG": F.log10, "POWER": F.pow, "SQRT": F.sqrt,
     "ROUND": lambda c, n=None: F.round(c, 0 if n is None else n), "CONCAT": lambda *c: F.concat(*map(_TEXT, c)), "LENGTH": F.length, "LOWER": F.lower, "UPPER": F.upper,
     "REPLACE": F.replace, "SUBSTR": F.substr, "SUBSTRING": F.substr, "TRIM": F.trim, "LEFT": F.left, "RIGHT": F.right, "COALESCE": F.coalesce, "NULLIF": F.nullif,
     "DATE_DIFF": date_diff, "DATE_ADD": date_add, "DATE_TRUNC": lambda unit, c: F.date_trunc(unit, c).cast("date"), "DATE_PART": lambda unit, c: F.date_part(F.lit(unit), c).cast("long"),
-    "JSON_EXTRACT_STRING": lambda c, path: F.get_json_object(c, path), "SPLIT": lambda c, by: F.split(c, "\\Q" + by + "\\E"), "CAST": lambda c, kind: c.cast({"VARCHAR": "string", "INTEGER": "bigint"}.get(kind, kind)),
+    "JSON_EXTRACT_STRING": F.get_json_object, "JSON_EXTRACT": F.get_json_object, "SPLIT": split, "STRING_SPLIT": split, "STR_SPLIT": split, "CAST": lambda c, kind: c.cast({"VARCHAR": "string", "INTEGER": "bigint"}.get(kind, kind)),
 }
 #: Arguments that are plain values rather than columns.
-_PLAIN = {"DATE_DIFF": (0,), "DATE_ADD": (0, 1), "DATE_TRUNC": (0,), "DATE_PART": (0,), "JSON_EXTRACT_STRING": (1,), "SPLIT": (1,), "CAST": (1,), "ROUND": (1,)}
+_PLAIN = {"DATE_DIFF": (0,), "DATE_ADD": (0, 1), "DATE_TRUNC": (0,), "DATE_PART": (0,), "JSON_EXTRACT_STRING": (1,), "JSON_EXTRACT": (1,), "SPLIT": (1,), "STRING_SPLIT": (1,), "STR_SPLIT": (1,), "CAST": (1,), "ROUND": (1,)}
 
 
 def call(name: str, args: list) -> Column:

@@ -53,8 +53,9 @@ def run_pipeline(spark, relation, steps: list[dict]) -> DataFrame:
     """Each step is a dict with one key. Conditions of where are {"column", "word", "value"} or SQL text."""
     df: DataFrame | None = None
     grain: set[str] | None = None
-    for step in steps:
+    for i, step in enumerate(steps):
         (kind, s), *more = step.items()
+        bounded = i == 1 and "date_spine" in steps[0]  # df is at most max_days rows
         if more:
             raise SemanticError("INVALID_QUERY", "a step has one key")
         if kind == "source":
@@ -110,7 +111,8 @@ def run_pipeline(spark, relation, steps: list[dict]) -> DataFrame:
             if s.get("on"):  # keys that a row of the spine and a state share
                 inside = inside & _on(df, other, s["on"])
             kept = [df[c] for c in dict.fromkeys([s["spine"], *(o["left"] for o in s.get("on", []))])]
-            df = df.join(other, inside).select(*kept, *[other[c] for c in s["columns"]])
+            spine = F.broadcast(df) if bounded else df
+            df = spine.join(other, inside).select(*kept, *[other[c] for c in s["columns"]])
         elif kind == "attribution_join":
             other = relation(s["relation"])
             lag = date_diff(s["lookback"]["unit"], df[s["base_time"]], other[s["attributed_time"]])

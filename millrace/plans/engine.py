@@ -28,6 +28,7 @@ from .leaf import Reader, Relation, snapshot, statistic
 from .model import Measure, Package, Rollup
 from .routes import child_route, lookups
 
+READS = ("scoped_aggregate", "aggregate", "semi_additive")
 KEYS = {"select", "group_by", "where", "having", "time", "order_by", "limit", "routes", "totals", "observation_scope"}
 WINDOWED = {"rolling", "prior_period", "cumulative", "period_to_date"}
 ZEROED = {"sum", "count", "count_distinct"}
@@ -211,7 +212,9 @@ class Engine:
             name = next((n for n, r in reads.items() if r["key"] == key), None) or f"__m{len(reads)}"
             reads[name] = {**e, "key": key}
             return {"kind": "column", "name": name}
-        if kind == "scoped_aggregate":  # a measure with its own conditions, also on entities
+        if kind == "semi_additive" and self._measure(e["id"]).stock is None:
+            raise SemanticError("INVALID_EXPRESSION_AST", f"{e['id']} isn't a stock")
+        if kind in READS:  # a measure with its own conditions, also on entities, or statistic
             return self._lift({**e, "kind": "measure"}, reads)
         if kind == "metric":
             return self._lift(self._named(e["id"]), reads)
@@ -237,7 +240,7 @@ class Engine:
         if e["kind"] == "aggregate_if":
             return e["agg"] in ("sum", "count")
         m = self.package.measures.get(e.get("id", ""))
-        return e["kind"] in ("measure", "scoped_aggregate") and m is not None and m.additive and not m.stock and e.get("agg", m.agg) in ("sum", "count")
+        return e["kind"] in ("measure", *READS) and m is not None and m.additive and not m.stock and e.get("agg", m.agg) in ("sum", "count")
 
     def _folded(self, reads: dict) -> list[tuple[list[str], list[dict]]]:
         """Plain reads of one entity, clock and filter share a scan; others stand alone."""
@@ -612,6 +615,8 @@ class Engine:
             return F.nullif(*[a if isinstance(a, Column) else F.lit(a) for a in map(part, e["args"])])
         if kind == "date_add":
             return date_add(e["unit"], e["value"], part(e["args"][0]))
+        if off := [g for g in e.get("partition_by", []) if g not in ctx["groups"]]:  # a window runs within each group of the call
+            raise SemanticError("INVALID_QUERY", f"partition_by names {off}, which the call doesn't group by")
         groups = [F.col(f"`{g}`") for g in ctx["groups"]]
         value = part(e["input"])
         if kind == "share":

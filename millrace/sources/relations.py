@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,26 @@ def tables(spark: SparkSession) -> Callable[[str], DataFrame]:
     return spark.table
 
 
+#: What a semicolon doesn't end a statement in: quoted text and names, and comments.
+_INERT = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+
+
+def statements(script: str) -> list[str]:
+    """The statements of a script, without comments; a semicolon within quotes or a comment ends none."""
+    out, held, at = [], "", 0
+    for m in [*_INERT.finditer(script), None]:
+        *ended, rest = script[at : m.start() if m else len(script)].split(";")
+        for part in ended:
+            out.append(held + part)
+            held = ""
+        held += rest
+        if m:
+            held += " " if m.group().startswith(("--", "/*")) else m.group()
+            at = m.end()
+    return [x.strip() for x in (*out, held) if x.strip()]
+
+
 def seed_sql(spark: SparkSession, script: str) -> None:
-    """Runs the statements of a script, split at semicolons that end a line."""
-    for statement in script.split(";\n"):
-        if statement.strip().rstrip(";").strip():
-            spark.sql(statement.strip().rstrip(";"))
+    """Runs the statements of a script in their order."""
+    for statement in statements(script):
+        spark.sql(statement)

@@ -6,6 +6,7 @@ import pytest
 
 from millrace.errors import SemanticError
 from millrace.operators.pipelines import run_pipeline
+from millrace.sources.relations import csv_folder, seed_sql, statements, tables
 
 
 def test_date_spine(spark):
@@ -18,3 +19,12 @@ def test_date_spine(spark):
         with pytest.raises(SemanticError) as e:
             spine(**bad)
         assert e.value.code == "INVALID_CONFIG"
+
+
+def test_seeds(spark, tmp_path):
+    script = "CREATE OR REPLACE TEMP VIEW a_seed AS SELECT 'x;\ny' AS t, \"it's;\" AS u; -- a comment; of two parts\n/* and; another */ CREATE OR REPLACE TEMP VIEW b_seed AS SELECT * FROM `a_seed`;\n;"
+    assert len(statements(script)) == 2 and statements("") == [] and statements("SELECT 1") == ["SELECT 1"]
+    seed_sql(spark, script)
+    assert [tuple(r) for r in tables(spark)("b_seed").collect()] == [("x;\ny", "it's;")]
+    (tmp_path / "t.csv").write_text('id,name\n1,"a, b"\n2,\n')
+    assert [tuple(r) for r in csv_folder(spark, str(tmp_path), {"t": "id long, name string"})("t").collect()] == [(1, "a, b"), (2, None)]

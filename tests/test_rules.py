@@ -141,3 +141,19 @@ def test_pipeline_steps(spark):
     refused("INVALID_CONFIG", lambda: run({"source": {"relation": "a"}}, {"group_by": {"dimensions": ["name"], "aggregates": {"id": {"fn": "max", "expr": "id"}}}}, join))
     state = {"state_as_of": {"relation": "states", "spine": "day", "valid_from": "since", "valid_to": "until", "columns": ["state"], "on": [{"left": "id"}]}}
     assert run({"source": {"relation": "days"}}, state) == [(date(2024, 1, 1), 1, "on"), (date(2024, 1, 2), 2, "off")]
+
+
+@pytest.mark.parametrize("kind", ["aggregate", "scoped_aggregate"])
+def test_inline_reads_are_governed(spark, kind):
+    ask = lambda **rules: Engine(spark, replace(PACKAGE, **rules), parquet_folder(spark, SF, DERIVED)).query({"select": [{"as": "x", "expr": {"kind": kind, "id": "revenue", "agg": "max"}}]})
+    assert ask().count() == 1
+    refused("POLICY_DENIED", lambda: ask(denied=frozenset({"revenue"})))
+    refused("POLICY_DENIED", lambda: ask(withheld={"revenue": 3}))
+    refused("POLICY_DENIED", lambda: ask(constraints={"revenue": {"required_group_by": ["customer.segment"]}}))
+
+
+def test_windows_and_stocks_that_are_refused(spark):
+    ask = lambda e, **call: engine(spark, SF).query({"select": [{"as": "x", "expr": e}], **call})
+    refused("INVALID_QUERY", lambda: ask({**LOOK_BACK["expr"], "partition_by": ["event.type"]}, time={"grain": "month"}))
+    refused("INVALID_EXPRESSION_AST", lambda: ask({"kind": "semi_additive", "id": "revenue"}))
+    refused("ROLLUP_UNSAFE", lambda: ask({"kind": "cumulative", "input": {"kind": "aggregate", "id": "revenue", "agg": "avg"}}, time={"grain": "month"}))
