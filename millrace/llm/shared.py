@@ -28,6 +28,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df in at most four partitions a core of the cluster (32 at least), for a small table that comes out of many shuffle partitions.
+
+    Hadoop starts a process (chmod) for each file that it makes in a local folder; until that runs its own program it shares the executor's pages.
+    """
+    return df.coalesce(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _delete(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, unused
+from .shared import few, staged, unused
 
 DEPTH, MAX_BRANCH, MIN_DOCS, MIN_CONSTANT = 3, 4, 5, 0.6
 #: White space within a line, and a token that holds a digit.
@@ -40,11 +40,11 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = documents.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = _lines(docs.where("text is not null"), depth)
     held = lines.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
-    leaves = staged(held.select("leaf"), "leaves")
+    leaves = staged(few(held.select("leaf")), "leaves")
     again = staged(lines.join(leaves, "leaf", "left_semi"), "recurring")
     places = again.select("leaf", "masked").distinct().select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     branches = places.distinct().groupBy("leaf", "at").agg(F.count("*").alias("n")).where((F.col("n") > max_branch) & (F.col("at") >= depth))
-    wild = staged(branches.groupBy("leaf").agg(F.collect_list("at").alias("wild")), "wild")
+    wild = staged(few(branches.groupBy("leaf").agg(F.collect_list("at").alias("wild"))), "wild")
     tokens = F.split("masked", " ")
     general = F.transform(tokens, lambda t, i: F.when(F.array_contains("wild", i), F.lit("<*>")).otherwise(t))
     constant = F.size(F.filter(general, lambda t: t != "<*>"))
@@ -52,8 +52,8 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     read = again.join(wild, "leaf", "left").select("row", "doc_id", "pos", F.xxhash64("leaf", template).alias("template"))
     known = staged(read, "templates")
     many = known.select("template", "doc_id").distinct().groupBy("template").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    drops = known.join(staged(many.select("template", "first"), "dropped"), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    per_row = staged(drops.select("row", "pos").distinct().groupBy("row").agg(F.collect_list("pos").alias("drops")), "drops")
+    drops = known.join(staged(few(many.select("template", "first")), "dropped"), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    per_row = staged(few(drops.select("row", "pos").distinct().groupBy("row").agg(F.collect_list("pos").alias("drops"))), "drops")
     given, (key, cut) = documents, (unused(documents, "__row"), unused(documents, "__drops"))
     joined = given.withColumn(key, row).join(per_row.withColumnsRenamed({"row": key, "drops": cut}).hint("merge"), key, "left")
     split = F.split(F.col(text_col), "\n")

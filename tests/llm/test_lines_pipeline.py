@@ -26,6 +26,24 @@ def test_lines_of_odd_tables(spark):
     assert by[10].text is None and by[11].text == "" and by[None].text == "" and by[12].text == ""
 
 
+def test_small_tables_of_many_partitions_are_few_files(spark, tmp_path, monkeypatch):
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [(i, f"{name(i // 5)} is what five documents hold\n{name(i)} own", "en") for i in range(600)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 600 and all(r.text == (f"{name(r.doc_id)} own" if r.doc_id % 5 else rows[r.doc_id][1]) for r in got)
+    files = {d.name.split("-")[0]: len(list(d.glob("part-*"))) for d in tmp_path.iterdir()}
+    assert {"leaves", "dropped", "drops"} <= set(files) and max(files.values()) <= 32, files
+
+
 def test_stages_pass_columns_of_any_name(spark):
     import corpus_pipeline
 
