@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +22,19 @@ ORDERS = (1, 2, 3, 4)
 MAX_LANGUAGES = 512
 #: ASCII letters in lower case and bytes of other characters stay, the rest becomes a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_CHUNK = 128 << 10
+_CHUNK = 32 << 10
+_PART = 1 << 20
 _DECODED = 64
 
 
+def _parts(batch: pa.RecordBatch, column: int | str) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in order, in slices of about _PART bytes of text: a worker keeps the memory it once had, and Python needs several times a text's."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // _PART, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(sizes)], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def _pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
     """Each text folded, in pieces of at most _CHUNK bytes behind the four bytes (blanks at first) that the n-grams of its first bytes reach."""
     for i, t in enumerate(texts):
@@ -60,8 +70,8 @@ def _buckets(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, l
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        texts, langs = ([x.as_py() for x in batch.column(i)] for i in range(2))
+    for part in (part for batch in batches for part in _parts(batch, 0)):
+        texts, langs = (part.column(i).to_pylist() for i in range(2))
         for lang in set(langs):
             mine = [t.encode() for t, x in zip(texts, langs, strict=True) if x == lang]
             total = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
@@ -113,17 +123,19 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return langs, code, weights, worth / worth.mean()
 
 
-def _predict(model, ambiguous_below: float):
+def _predict(model, ambiguous_below: float, with_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, code, weights, worth = model.value
-        for batch in batches:
-            texts = [x.as_py() for x in batch.column("text")]
+        for part in (part for batch in batches for part in _parts(batch, "text")):
+            texts = part.column("text").to_pylist()
             known = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))] if langs else []
             raw = [texts[i].encode() for i in known]
             lang, score, unclear = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             totals = np.zeros((len(raw), code.shape[1]))
             for grams, starts, owners in _grams(raw):
-                margin = sum(weights[g] for g in grams)
+                margin = weights[grams[0]]
+                for g in grams[1:]:
+                    margin += weights[g]
                 margin[(starts[:-1, None] + np.arange(4)).ravel()] = 0
                 np.add.at(totals, owners, np.add.reduceat(margin, starts[:-1], axis=0, dtype=np.float64) / len(ORDERS))
             for a in range(0, len(known), _DECODED):
@@ -133,14 +145,14 @@ def _predict(model, ambiguous_below: float):
                 for k, at in enumerate(known[a : a + _DECODED]):
                     best = int(loss[k].argmin())
                     lang[at], score[at], unclear[at] = langs[best], likely[k, best], likely[k, best] < ambiguous_below
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(lang), pa.array(score), pa.array(unclear)], [*names, "lang_pred", "score", "ambiguous"])
+            names = [n for n in part.schema.names if n != "text" or with_text]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(lang), pa.array(score), pa.array(unclear)], [*names, "lang_pred", "score", "ambiguous"])
 
     return run
 
 
-def identify(documents: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", ambiguous_below: float = 0.6, keep: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1), ambiguous, and the columns in `keep`, per row.
+def identify(documents: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", ambiguous_below: float = 0.6, keep: dict[str, Column] | None = None, with_text: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1), ambiguous, and the columns in `keep`, per row; with `with_text` the text as a string, named text.
 
     Learns from the text and non-null label of rows where `training` is true, and predicts from the text alone. A null text, and one
     without a letter, is `und` with score 0, as is everything where nothing is labelled. Ties go to the language first by name; repeated
@@ -149,5 +161,5 @@ def identify(documents: DataFrame, training: Column, id_col: str = "doc_id", tex
     model = documents.sparkSession.sparkContext.broadcast(train(documents.where(F.coalesce(training, F.lit(False))), text_col, lang_col))
     kept = {id_col: F.col(id_col)} | (keep or {})
     rows = documents.select(*(c.alias(n) for n, c in kept.items()), F.col(text_col).cast("string").alias("text"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.drop("text").dtypes)
-    return rows.mapInArrow(_predict(model, ambiguous_below), f"{fields}, lang_pred string, score double, ambiguous boolean")
+    fields = ", ".join(f"`{n}` {t}" for n, t in (rows if with_text else rows.drop("text")).dtypes)
+    return rows.mapInArrow(_predict(model, ambiguous_below, with_text), f"{fields}, lang_pred string, score double, ambiguous boolean")

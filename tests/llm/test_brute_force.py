@@ -2,10 +2,12 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, packing, queries, substring
@@ -79,6 +81,28 @@ def test_language_decoding(spark):
     assert all(spread[i].lang_pred == got[i]["lang_pred"] and abs(spread[i].score - got[i]["score"]) < 1e-3 for i in want)
 
 
+def test_language_id_holds_slices_of_a_batch():
+    rng = random.Random(8)
+    texts = [words(rng, 800, "abcdefgh" if i % 2 else "efghijkl") for i in range(1000)] + [None, "", "é " * 1_000_000]
+    langs = ["aa" if i % 2 else "bb" for i in range(1000)]
+    labelled, asked = pa.RecordBatch.from_pydict({"text": texts[:1000], "lang": langs}), pa.RecordBatch.from_pydict({"id": list(range(1003)), "text": texts})
+    model = ["aa", "bb"], np.array([[1] * 7, [-1] * 7], np.int8), np.full((langid.BUCKETS, 7), 0.25, np.float32), np.ones(7)
+    run = langid._predict(type("Model", (), {"value": model}), 0.6)
+    for job in (lambda: langid._count(iter([labelled])), lambda: run(iter([asked.slice(0, 1002)]))):  # 5 MB of text; held: a slice
+        tracemalloc.start()
+        for _ in job():
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 9e6, peak
+    for r in langid._count(iter([labelled])):  # every n-gram of the batch is counted
+        mine = [t for t, x in zip(texts, langs) if x == r.column("lang")[0].as_py()]
+        assert sum(r.column("n").to_pylist()) == len(langid.ORDERS) * sum(len(folded(t)) - 4 for t in mine)
+    rows = lambda *batches: [x for r in run(iter(batches)) for x in zip(*(r.column(n).to_pylist() for n in ("id", "lang_pred", "score")), strict=True)]
+    whole = rows(asked)
+    assert [i for i, _, _ in whole] == list(range(1003)) and [whole[i] for i in (0, 999, 1000, 1001, 1002)] == rows(*(asked.slice(i, 1) for i in (0, 999, 1000, 1001, 1002)))
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     learn = F.expr("crc32(cast(doc_id as string)) % 4 <> 2")

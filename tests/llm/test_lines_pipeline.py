@@ -58,6 +58,20 @@ def test_stages_pass_columns_of_any_name(spark):
     assert corpus_pipeline.near_copy_stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_language_stage_sends_the_text_to_python_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, words(rng, 40), "en") for i in range(6)], SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
+    kept, identify = [], corpus_pipeline.identify
+    monkeypatch.setattr(corpus_pipeline, "identify", lambda *a, keep, **k: kept.append(len(keep)) or identify(*a, keep=keep, **k))
+    raw = docs.withColumn("text", F.encode("text", "utf-8"))
+    for frame in (docs, raw):  # a text of another type keeps it
+        out = corpus_pipeline.language_stage(spark, frame, "")
+        assert out.dtypes == frame.dtypes and sorted(out.collect()) == sorted(frame.collect())
+    assert kept == [3, 4]
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     class Conf:
         def get(self, *_):
