@@ -24,7 +24,7 @@ from ..functions.scalars import date_add, divide
 from ..functions.words import check_strings, condition
 from . import clock as clocks
 from .governance import check_constraints, check_names, ids_of
-from .leaf import Reader, Relation, snapshot, statistic
+from .leaf import Reader, Relation, held_by, snapshot, statistic
 from .model import Measure, Package, Rollup
 from .routes import child_route, lookups
 
@@ -398,8 +398,10 @@ class Engine:
             values = [child.dimension(g).alias(f"__{g}") for g in held]
             for hop in hops[:-1]:
                 child.reach(hop.target)
-            pairs = child.df.select(*[F.col(f"{hops[-1].source}${a}").alias(f"__c{i}") for i, (a, _) in enumerate(hops[-1].on)], *values).distinct()
-            reader.df = reader.df.join(pairs, [F.col(f"{m.entity}${b}") == F.col(f"__c{i}") for i, (_, b) in enumerate(hops[-1].on)]).drop(*[f"__c{i}" for i in range(len(hops[-1].on))])
+            by = [f"__c{i}" for i in range(len(hops[-1].on))]
+            pairs = child.df.select(*[F.col(f"{hops[-1].source}${a}").alias(c) for c, (a, _) in zip(by, hops[-1].on, strict=True)], *values)
+            pairs = held_by(pairs, by, [self.relation(self.package.entities[e].table) for e in (hops[0].source, m.entity)])
+            reader.df = reader.df.join(pairs, [F.col(f"{m.entity}${b}") == F.col(c) for c, (_, b) in zip(by, hops[-1].on, strict=True)]).drop(*by)
             cols |= {g: F.col(f"`__{g}`") for g in held}
             self._note("REWRITE_APPLIED", rewrite="fanout_dedup", overlapping_groups=held, path=[h.target for h in hops])
         return {g: cols[g] for g in groups}, bool(below)
@@ -453,7 +455,8 @@ class Engine:
         cols = {g: reader.dimension(g) for g in groups if g not in far}
         reader.where(call.get("where", []))
         below = Reader(self.package, self.relation, hop.source, call.get("routes"))
-        sets = below.df.select(*[F.col(f"{hop.source}${a}").alias(f"__c{i}") for i, (a, _) in enumerate(hop.on)], *[below.dimension(g).alias(f"__{g}") for g in far]).distinct()
+        sets = below.df.select(*[F.col(f"{hop.source}${a}").alias(f"__c{i}") for i, (a, _) in enumerate(hop.on)], *[below.dimension(g).alias(f"__{g}") for g in far])
+        sets = held_by(sets, [f"__c{i}" for i in range(len(hop.on))], [self.relation(self.package.entities[e].table) for e in (hop.source, m.entity)])
         reader.df = reader.df.join(sets, [F.col(f"{hop.target}${b}") == F.col(f"__c{i}") for i, (_, b) in enumerate(hop.on)], "left")
         self._note("REWRITE_APPLIED", rewrite="child_values", overlapping_groups=far, path=[hop.target, hop.source])
         values = {n: reader.value(y) for n, y in zip(names, measures, strict=True)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,6 +17,27 @@ from .routes import child_route, lookups, route
 
 Relation = Callable[[str], DataFrame]
 
+#: So many bytes of a table are one task's share of its rows where they are dealt by key, up to a number of tasks.
+SHARE, MOST_TASKS = 2 << 20, 20_000
+
+
+def shares(table: DataFrame) -> int:
+    """Tasks for a table's rows, by the size of what it is read from as the planner knows it (no job); the session's number, where it doesn't."""
+    spark = table.sparkSession
+    plan = spark.sql("EXPLAIN COST SELECT * FROM {table}", table=table).first()[0].split("== Physical Plan ==")[0]
+    nodes = [(re.search("[A-Za-z]", x).start(), x.rpartition("sizeInBytes=")[2]) for x in plan.splitlines() if "sizeInBytes=" in x]
+    leaves = [re.match(r"([\d.]+) (B|[KMGT]iB)\b", x) for (depth, x), (after, _) in zip(nodes, [*nodes[1:], (0, "")], strict=True) if after <= depth]
+    if not leaves or None in leaves:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(float(x[1]) * 1024 ** ("B", "KiB", "MiB", "GiB", "TiB").index(x[2]) for x in leaves)
+    return min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, int(size // SHARE) + 1))
+
+
+def held_by(rows: DataFrame, keys: list[str], tables: list[DataFrame]) -> DataFrame:
+    """Distinct rows, dealt by keys to as many tasks as the larger of the tables that meet by them needs. Rows are made distinct where they
+    are joined and not before they are dealt too, so a task holds its share of keys only, however large the tables are."""
+    return rows.repartition(max(map(shares, tables)), *keys).distinct()
+
 
 def statistic(agg: str, value: Column, clock: Column | None = None, p: float | None = None, key: list[Column] | None = None) -> Column:
     if agg == "count_distinct":
@@ -223,8 +245,6 @@ class Reader:
 
 
 def _prefixed(expr: str, entity: str, columns: list[str]) -> str:
-    import re
-
     names = "|".join(sorted(map(re.escape, columns), key=len, reverse=True))
     return re.sub(rf"'[^']*'|\b({names})\b", lambda m: f"`{entity}${m[1]}`" if m[1] else m[0], expr)
 
