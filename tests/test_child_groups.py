@@ -26,7 +26,7 @@ def dealt(spark, df):
     return re.findall(r"hashpartitioning\((__c\d.*?), (\d+)\)", plan)
 
 
-@pytest.mark.parametrize("name", ["same_child_groups"])
+@pytest.mark.parametrize("name", ["same_child_groups", "child_group_counts_once"])
 def test_children_are_dealt_once_by_key_to_as_many_tasks_as_their_table_needs(spark, monkeypatch, name):
     tasks = {}
     for share in (10_000, 2_500):
